@@ -1,0 +1,81 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.llm import pii
+
+from .helpers import AWKWARD, clashing, docs_frame
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(p, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits)))
+            ok = {
+                "email": True,
+                "ip": kind == "ip" and all(int(x) <= 255 for x in m.group().split(".")),
+                "card": 13 <= len(digits) <= 19 and total % 10 == 0,
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+@given(st.text("0123456789. -+()", max_size=60) | st.text("ab@.-_ 1", max_size=40) | st.text("4 -0+.@a", max_size=60))
+@settings(max_examples=2000, deadline=None)
+def test_base_spans(text):
+    assert pii.base_spans(text) == brute(text)
+
+
+EXAMPLES = ["mail a.b@c.example.com now é a@b@c.de", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (555) 123-4567 or 192.168.001.9, 1.2.3.4.5 300.1.1.1", "x" * 100_000 + "@a.b", "1" * 50_000, "+1" * 3000, "@" * 1000]
+
+
+def test_query_columns(spark):
+    texts = AWKWARD + EXAMPLES
+    got = {r.doc_id: r for r in pii.digest(pii.personal_data(clashing(docs_frame(spark, texts)))).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = brute(t)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert got[i].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in want) for k in pii.BASE]
+        assert [x for x in got[i].spans.split(",") if x.split(":")[0] in pii.BASE] == [x for x in joined.split(",") if x] or not joined
+
+
+def test_added_spans(spark):
+    rng = random.Random(2)
+    good = ["call me by phone: 415-555-0132 today", "her ssn is 123-45-6789", "write to jane.doe [at] mail [dot] org", "iban DE89 3704 0044 0532 0130 00 at the bank", "contact Dr. Anna Schmidt for it", "host 2001:db8:85a3:0:0:8a2e:370:7334"]
+    bad = ["section 1.2 version table Red House of page 3", "order 000-00-0000 item number", "The End", "nothing here"]
+    texts = [rng.choice(good) for _ in range(120)] + [rng.choice(bad) for _ in range(120)]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.personal_data(docs_frame(spark, texts))).collect()}
+    assert all(got[i] for i in range(120)), {texts[i] for i in range(120) if not got[i]}
+    assert not any(got[i] for i in range(120, 240)), {(texts[i], got[i]) for i in range(120, 240) if got[i]}
+
+
+def test_expectation_maximisation_finds_reliable_labelers():
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.4
+    right = np.array([0.95, 0.9, 0.6, 0.85, 0.7, 0.9])
+    v = np.where(rng.random((4000, 6)) < right, truth[:, None], ~truth[:, None]).astype(int)
+    v[rng.random(v.shape) < 0.2] = -1
+    post, prior, rate = pii.expectation_maximisation(np.zeros(4000, int), v, np.ones(4000))
+    assert ((post > 0.5) == truth).mean() > 0.95
+    assert np.abs(rate[:, 1] - right).max() < 0.06 and abs(prior[0] - 0.4) < 0.05
+
+
+def test_empty(spark):
+    assert pii.digest(pii.personal_data(docs_frame(spark, []))).collect() == []

@@ -272,7 +272,8 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
     starts, stops = edges[::2].tolist(), edges[1::2].tolist()
     out, at = [], 0
     for a, b in spans:
-        out.append(text[at : starts[a]].rstrip())
+        part = text[at : starts[a]].rstrip()
+        out.append(part.lstrip() if at else part)
         at = stops[b - 1]
-    out.append(text[at:])
+    out.append(text[at:].lstrip() if at else text[at:])
     return b" ".join(x for x in out if x).decode()

@@ -12,6 +12,9 @@ from .bpe import round_trip
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .langid import language_ids
+from .pii import digest, personal_data
+from .quality import quality_scores
 from .simhash import near_duplicates
 
 
@@ -24,10 +27,18 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,8 +52,12 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(table(spark, sf_dir, "documents")).drop("ambiguous")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_decontaminate, op4_exact_dedup, op6_simhash, op9_bpe)
+    f.__name__: f for f in (op1_pii, op2_decontaminate, op3_quality, op4_exact_dedup, op6_simhash, op9_bpe, op10_language_id)
 }
 
 ORACLE: dict[str, str] = {
