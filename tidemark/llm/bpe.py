@@ -275,6 +275,22 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
     return by_batch(tokens.select("doc_id", "ids"), "doc_id long, text string", each, BATCH)
 
 
+def tokenised(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, ids array<int>, n_tokens, exact): ids of whole texts, and whether they decode to the text again."""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        c, texts = codec(path), _texts(batch)
+        raw = list(c.encode_batch(texts))
+        return {
+            "doc_id": batch.column("doc_id"),
+            "ids": [memoryview(x).cast("I").tolist() for x in raw],
+            "n_tokens": [len(x) // 4 for x in raw],
+            "exact": [c.decode(x) == t for x, t in zip(raw, texts)],
+        }
+
+    return by_batch(_narrow(docs, text, doc_id), "doc_id long, ids array<int>, n_tokens long, exact boolean", each, BATCH)
+
+
 def round_trip(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, exact): encode and decode in one pass, ids stay in the task.
 

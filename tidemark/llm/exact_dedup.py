@@ -141,3 +141,13 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
         F.coalesce(F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")), F.lit(True)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """docs with one of each set of equal texts: the rows that exact_duplicates() keeps, all columns.
+
+    Rows that repeat both doc_id and text all stay, as they share an identity.
+    """
+    gone = exact_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.sha2(normalised("text"), 256) == F.col("_gone_sha"))
+    return docs.join(gone, same, "left_anti")
