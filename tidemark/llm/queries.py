@@ -12,10 +12,12 @@ from .bpe import round_trip
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .html import page_text
 from .langid import language_ids
 from .pii import digest, personal_data
 from .quality import quality_scores
 from .simhash import near_duplicates
+from .toolcalls import exchanges, linked
 
 
 def vocabulary_path() -> str:
@@ -43,11 +45,20 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linked(*exchanges(table(spark, sf_dir, "conversations")))
+    return found.withColumn("errors", F.array_join("errors", ";"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -57,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_decontaminate, op3_quality, op4_exact_dedup, op6_simhash, op9_bpe, op10_language_id)
+    f.__name__: f for f in (op1_pii, op2_decontaminate, op3_quality, op4_exact_dedup, op5_html_text, op6_simhash, op7_tool_calls, op9_bpe, op10_language_id)
 }
 
 ORACLE: dict[str, str] = {
@@ -88,4 +99,28 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n""",
+    "op7_tool_calls": r"""
+WITH rows AS (
+  SELECT conv_id, turn, lower(trim(coalesce(role, ''))) AS role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+calls AS (
+  SELECT conv_id, 'c' || turn AS call_id, turn, CASE role WHEN 'user' THEN 'reply' WHEN 'system' THEN 'instruct' ELSE role END AS name, text,
+    CASE WHEN role = 'user' AND turn >= 2 THEN 'c' || (turn - 2) END AS depends FROM rows WHERE role <> 'assistant'),
+results AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn AS result_turn, text AS result FROM rows WHERE role = 'assistant'),
+joined AS (
+  SELECT conv_id, call_id, c.turn, r.result_turn, name, text, depends, result, c.conv_id IS NOT NULL AS is_call, r.conv_id IS NOT NULL AS has_result,
+    CASE WHEN c.conv_id IS NULL THEN '' ELSE concat_ws(';',
+      CASE WHEN depends IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls d WHERE d.conv_id = c.conv_id AND d.call_id = c.depends) THEN depends || ': no such call' END,
+      CASE WHEN text IS NULL THEN 'prompt: missing' WHEN length(text) < 1 THEN 'prompt: bad length' END,
+      CASE WHEN name NOT IN ('reply', 'instruct') THEN 'unknown tool' END) END AS errors
+  FROM calls c FULL JOIN results r USING (conv_id, call_id)),
+final AS (
+  SELECT *, CASE WHEN NOT is_call THEN 'orphan_result' WHEN errors <> '' THEN 'invalid' WHEN NOT has_result THEN 'no_result' ELSE 'ok' END AS status FROM joined)
+SELECT conv_id, call_id, coalesce(turn, result_turn) AS turn, coalesce(turn, result_turn) AS order_turn, CAST(0 AS BIGINT) AS order_hops, name, status, errors,
+  CAST(is_call AS BIGINT) AS n_calls, CAST(has_result AS BIGINT) AS n_results,
+  '{"arguments":' || CASE WHEN NOT is_call THEN 'null' ELSE '{' || coalesce('"prompt":' || to_json(text) || ',', '') || '"turn":' || turn || '}' END
+  || ',"call_id":' || to_json(call_id) || ',"conv_id":' || conv_id
+  || ',"depends_on":' || CASE WHEN NOT is_call THEN 'null' WHEN depends IS NULL THEN '[]' ELSE '[' || to_json(depends) || ']' END
+  || ',"errors":' || CASE WHEN errors = '' THEN '[]' ELSE to_json(string_split(errors, ';')) END
+  || ',"name":' || coalesce(to_json(name), 'null') || ',"result":' || coalesce(to_json(result), 'null') || ',"status":' || to_json(status) || '}' AS json
+FROM final""",
 }
