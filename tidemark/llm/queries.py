@@ -17,6 +17,7 @@ from .langid import language_ids
 from .pii import digest, personal_data
 from .quality import quality_scores
 from .simhash import near_duplicates
+from .substring import passages
 from .toolcalls import exchanges, linked
 
 
@@ -59,6 +60,10 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("errors", F.array_join("errors", ";"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -68,7 +73,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_decontaminate, op3_quality, op4_exact_dedup, op5_html_text, op6_simhash, op7_tool_calls, op9_bpe, op10_language_id)
+    f.__name__: f for f in (op1_pii, op2_decontaminate, op3_quality, op4_exact_dedup, op5_html_text, op6_simhash, op7_tool_calls, op8_substring, op9_bpe, op10_language_id)
 }
 
 ORACLE: dict[str, str] = {
