@@ -1 +1 @@
-
+"""Codecs and filters as column expressions."""

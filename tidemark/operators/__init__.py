@@ -1 +1 @@
-
+"""Operators over versions, logs, transactions and traces."""

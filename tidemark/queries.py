@@ -1,10 +1,718 @@
-"""The registered queries and their DuckDB equivalents."""
+"""The registered queries and their DuckDB equivalents.
+
+Parameters follow from the data, so that every scale has results: snapshot S = max(ts) div 2, watermark
+W = max(ts) - 100, key range [max(key) div 6, max(key) div 2), a flush every 2,500 commits.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import bloom, codec
+from .model import COMMIT, PUT
+from .operators import checker, compaction, log, replication, sessions, snapshot, transactions
+from .plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+FLUSH = 2500
+KEY = 7
+
+
+def query(sql: str | None = None, *ctes: str) -> Callable:
+    """Register a function as a query, with the SQL that follows the given common table expressions."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql.strip()
+        return f
+
+    return add
+
+
+def bounds(v: DataFrame) -> tuple[int, int, int]:
+    """(newest ts, low key, high key) from one aggregate."""
+    r = v.agg(F.max("ts").alias("ts"), F.max("key").alias("key")).first()
+    return r["ts"], r["key"] // 6, r["key"] // 2
+
+
+P = "p AS (SELECT max(ts) AS now, max(ts) // 2 AS s, max(ts) - 100 AS w, max(key) // 6 AS lo, max(key) // 2 AS hi FROM versions)"
+AS_OF = "ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC) AS rn FROM versions, p WHERE ts <= s)"
+NOW = "ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC) AS rn FROM versions, p)"
+
+
+# Reads
+
+
+@query(f"SELECT key, ts, value FROM ranked WHERE rn = 1 AND op = 1 AND key = {KEY}", views.VERSIONS, P, NOW)
+def get_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.get(views.versions(spark, sf_dir), KEY)
+
+
+@query(f"SELECT key, ts, value FROM ranked WHERE rn = 1 AND op = 1 AND key = {KEY}", views.VERSIONS, P, AS_OF)
+def get_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    return snapshot.get(v, KEY, bounds(v)[0] // 2)
+
+
+@query("SELECT key, ts, op, value, CASE WHEN op = 2 THEN 'deleted' ELSE 'value' END AS state FROM ranked WHERE rn = 1", views.VERSIONS, P, AS_OF)
+def get_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    return snapshot.tristate(v, bounds(v)[0] // 2)
+
+
+def _layers(v: DataFrame, now: int) -> list[DataFrame]:
+    """Flushes from newest to oldest; each also repeats the newest version of the one before with another value."""
+    cuts = list(range(0, now, FLUSH))
+    out = []
+    for lo in cuts:
+        own = v.where((F.col("ts") > lo) & (F.col("ts") <= lo + FLUSH))
+        again = v.where(F.col("ts") == lo).withColumn("value", -F.col("value"))
+        out.append(own.unionByName(again))
+    return out[::-1]
+
+
+@query("SELECT key, ts, value FROM ranked WHERE rn = 1 AND op = 1", views.VERSIONS, P, AS_OF)
+def layered_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    now = bounds(v)[0]
+    layers = [v.where((F.col("ts") > lo) & (F.col("ts") <= lo + FLUSH)) for lo in range(0, now, FLUSH)][::-1]
+    return snapshot.scan(snapshot.merged(*layers).drop("layer"), now // 2)
+
+
+@query("SELECT key, ts, value FROM ranked WHERE rn = 1 AND op = 1 AND key >= lo AND key < hi", views.VERSIONS, P, AS_OF)
+def range_scan_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    now, lo, hi = bounds(v)
+    return snapshot.scan(v, now // 2, lo, hi)
+
+
+@query("SELECT key, ts, value FROM ranked WHERE rn = 1 AND op = 1 AND key >= lo AND key < hi", views.VERSIONS, P, NOW)
+def range_scan_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    _, lo, hi = bounds(v)
+    return snapshot.scan(v, None, lo, hi)
+
+
+@query("SELECT key, ts, value, (SELECT count(*) FROM wal WHERE op = 3) AS applied_index, now AS snapshot_ts FROM ranked WHERE rn = 1 AND op = 1", views.VERSIONS, views.WAL, P, NOW)
+def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.snapshot_scan(views.versions(spark, sf_dir), views.wal(spark, sf_dir).where(F.col("op") == COMMIT).count())
+
+
+@query("SELECT key, ts, op, value FROM versions, p WHERE ts <= s AND key >= lo AND key < hi", views.VERSIONS, P)
+def range_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    now, lo, hi = bounds(v)
+    return snapshot.visible(v, now // 2, lo, hi)
+
+
+@query("SELECT key, ts, op, value, row_number() OVER (ORDER BY key, ts DESC) - 1 AS pos FROM versions", views.VERSIONS)
+def iterate_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.positions(views.versions(spark, sf_dir))
+
+
+@query(
+    "SELECT key, ts, CASE WHEN ts % 2500 = 0 AND ts < (SELECT now FROM p) THEN -value ELSE value END AS value, op FROM versions", views.VERSIONS, P
+)
+def merge_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    return snapshot.merged(*_layers(v, bounds(v)[0])).drop("layer")
+
+
+@query("SELECT key, max(ts) AS newest_ts FROM versions GROUP BY key", views.VERSIONS)
+def newest_version_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.newest_ts(views.versions(spark, sf_dir))
+
+
+@query("SELECT key, count(*) AS n_versions FROM versions GROUP BY key", views.VERSIONS)
+def version_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot.version_count(views.versions(spark, sf_dir))
+
+
+@query("SELECT max(ts) AS last_applied_ts FROM versions", views.VERSIONS)
+def last_applied_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.versions(spark, sf_dir).agg(F.max("ts").alias("last_applied_ts"))
+
+
+@query("SELECT key, ts, op, value FROM ranked WHERE rn = 1 AND key = (SELECT min(key) FROM versions WHERE key >= (SELECT lo FROM p))", views.VERSIONS, P, NOW)
+def seek_ge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    return snapshot.seek(v, bounds(v)[1])
+
+
+# Transactions
+
+BUFFER = "buffer AS (SELECT txn, key, arg_max(op, stmt) AS op, arg_max(value, stmt) AS value, max(stmt) AS stmt FROM writes GROUP BY txn, key)"
+
+
+@query("SELECT * FROM buffer", views.WRITES, BUFFER)
+def txn_write_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.write_buffer(views.writes(spark, sf_dir))
+
+
+@query(
+    """, own AS (SELECT key, op AS own_op, value * 1.0 AS own_value FROM buffer WHERE txn = (SELECT min(txn) FROM buffer)),
+snap AS (SELECT key, value FROM ranked WHERE rn = 1 AND op = 1)
+SELECT key, CAST(CASE WHEN own_op IS NOT NULL THEN own_value ELSE value END AS DOUBLE) AS value, own_op IS NOT NULL AS own
+FROM snap FULL JOIN own USING (key) WHERE own_op IS NULL OR own_op = 1""".lstrip(),
+    views.VERSIONS, P, AS_OF, views.WRITES, BUFFER,
+)
+def txn_read_your_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, buffer = views.versions(spark, sf_dir), transactions.write_buffer(views.writes(spark, sf_dir))
+    first = buffer.agg(F.min("txn")).first()[0]
+    own = buffer.where(F.col("txn") == first).select("key", "op", F.col("value").cast("double").alias("value"))
+    return transactions.read_your_writes(v, own, bounds(v)[0] // 2)
+
+
+@query(
+    """SELECT t.txn, count(*) AS n_conflicts, max(newest_ts) AS newest_ts FROM txns t
+JOIN (SELECT key, max(ts) AS newest_ts FROM txns WHERE txn < (SELECT max(txn) // 2 FROM txns) GROUP BY key) n USING (key)
+WHERE t.txn >= (SELECT max(txn) // 2 FROM txns) AND newest_ts > read_snap GROUP BY t.txn""",
+    views.TXNS,
+)
+def txn_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the orders is the log; each later one is checked against it."""
+    t = views.txns(spark, sf_dir)
+    half = t.agg(F.max("txn")).first()[0] // 2
+    later = t.where(F.col("txn") >= half)
+    return transactions.conflicts(t.where(F.col("txn") < half).select("key", "ts"), later.select("txn", "read_snap"), later.select("txn", "key"))
+
+
+@query(
+    """SELECT key, txn, committed FROM (
+WITH RECURSIVE
+orders_of AS (SELECT txn, key, ts, read_snap, row_number() OVER (PARTITION BY key ORDER BY ts, txn) AS rn FROM txns),
+fold AS (
+  SELECT key, txn, rn, true AS committed, ts AS last FROM orders_of WHERE rn = 1
+  UNION ALL
+  SELECT o.key, o.txn, o.rn, f.last <= o.read_snap, CASE WHEN f.last <= o.read_snap THEN o.ts ELSE f.last END
+  FROM fold f JOIN orders_of o ON o.key = f.key AND o.rn = f.rn + 1)
+SELECT * FROM fold)""",
+    views.TXNS,
+)
+def txn_fcw_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transactions.first_committer_wins(views.txns(spark, sf_dir))
+
+
+TXN_HEAD = "head AS (SELECT txn, min(read_snap) AS read_snap, min(txn) AS commit_order FROM (SELECT txn, 0 AS read_snap FROM writes) GROUP BY txn)"
+
+
+@query(
+    """, logged AS (SELECT DISTINCT key, CAST(1 AS BIGINT) AS ts FROM buffer WHERE key % 50 = 0),
+lost AS (SELECT DISTINCT txn FROM buffer JOIN logged USING (key)),
+won AS (SELECT txn, row_number() OVER (ORDER BY txn) + 1 AS ts FROM (SELECT DISTINCT txn FROM buffer WHERE txn NOT IN (SELECT txn FROM lost)))
+SELECT ts, op, key, value FROM buffer JOIN won USING (txn) UNION ALL SELECT ts, 3, NULL, NULL FROM won""".lstrip(),
+    views.WRITES, BUFFER,
+)
+def txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions began at snapshot 0 of a log that has one version of every 50th part."""
+    buffer = transactions.write_buffer(views.writes(spark, sf_dir)).drop("stmt")
+    logged = buffer.where(F.col("key") % 50 == 0).select("key", F.lit(1).cast("long").alias("ts")).distinct()
+    txns = buffer.select("txn").distinct().select("txn", F.lit(0).cast("long").alias("read_snap"), F.col("txn").alias("commit_order"))
+    return transactions.commit(txns, buffer, logged)
+
+
+@query(
+    """, judged AS (SELECT idx, session, seq, idx % 11 AS n_ops, idx % 7 <> 0 AS ends, 1 + CAST(idx % 13 = 0 AS INT) AS n_ts, CAST(idx % 17 = 0 AS INT) AS n_bad,
+  seq > coalesce(max(seq) OVER (PARTITION BY session ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fresh FROM sessions),
+reasons AS (SELECT idx, CASE WHEN n_ops = 0 THEN 'empty' WHEN NOT ends THEN 'no commit' WHEN n_ts > 1 THEN 'two timestamps' WHEN n_bad > 0 THEN 'bad op' WHEN NOT fresh THEN 'duplicate' ELSE 'ok' END AS reason FROM judged)
+SELECT idx, reason = 'ok' AS applied, reason FROM reasons""".lstrip(),
+    views.SESSIONS,
+)
+def apply_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("idx")
+    e = views.sessions(spark, sf_dir).withColumns(
+        {"n_ops": i % 11, "ends_in_commit": i % 7 != 0, "n_ts": F.lit(1) + (i % 13 == 0).cast("int"), "n_bad_ops": (i % 17 == 0).cast("int")}
+    )
+    return transactions.apply_entries(e)
+
+
+# Sessions
+
+DEDUP = "dedup AS (SELECT *, seq > coalesce(max(seq) OVER (PARTITION BY session ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS applied FROM sessions)"
+
+
+@query("SELECT session, max(seq) AS last_seq FROM sessions GROUP BY session", views.SESSIONS)
+def session_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.session_table(views.sessions(spark, sf_dir))
+
+
+@query("SELECT session, idx, seq, applied FROM dedup", views.SESSIONS, DEDUP)
+def session_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.deduplicated(views.sessions(spark, sf_dir))
+
+
+@query("SELECT session, CAST(sum(CAST(applied AS BIGINT)) AS BIGINT) AS counter, count(*) AS n_attempts FROM dedup GROUP BY session", views.SESSIONS, DEDUP)
+def exactly_once_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.counters(views.sessions(spark, sf_dir))
+
+
+@query("SELECT session, max(seq) AS last_seq FROM sessions GROUP BY session", views.SESSIONS)
+def session_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved table of the first half of the log, and the second half's entries."""
+    s = views.sessions(spark, sf_dir)
+    half = s.agg(F.max("idx")).first()[0] // 2
+    return sessions.merged_tables(*[sessions.session_table(s.where(w)) for w in (F.col("idx") <= half, F.col("idx") > half)])
+
+
+# Log and recovery
+
+
+@query("""SELECT "offset", op, key, value FROM wal WHERE "offset" < coalesce((SELECT min("offset") FROM wal WHERE status <> 'ok'), 1e18)""", views.WAL)
+def wal_truncate_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.truncated_tail(views.wal(spark, sf_dir)).drop("status")
+
+
+@query(
+    """SELECT event_id AS seq, CAST(coalesce(sum(21 + length(event_type) + length(CAST(user_id AS VARCHAR)))
+OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM events"""
+)
+def wal_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.length(F.col("user_id").cast("string")).alias("key_len"), F.length("event_type").alias("value_len"))
+    return log.offsets(e).select("seq", "offset")
+
+
+STAMPED = """grouped AS (SELECT *, coalesce(sum(CAST(op = 3 AS BIGINT)) OVER (ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM wal),
+stamped AS (SELECT *, CASE WHEN op <> 3 AND "offset" % 97 = 0 THEN grp ELSE grp + 1 END AS ts FROM grouped),
+marked AS (SELECT s.*, m.ts AS marker_ts FROM stamped s LEFT JOIN (SELECT grp, ts FROM stamped WHERE op = 3) m USING (grp) WHERE s.op <> 3)"""
+
+
+def _stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with a ts for each transaction; every 97th data record has the one before."""
+    from .operators.prefix import running
+
+    g = running(views.wal(spark, sf_dir), "offset", (F.col("op") == COMMIT).cast("long"), "g")
+    return g.withColumn("ts", F.when((F.col("op") != COMMIT) & (F.col("offset") % 97 == 0), F.col("g")).otherwise(F.col("g") + 1)).drop("g")
+
+
+@query('SELECT "offset", op, ts, key, value, CAST(grp AS BIGINT) AS grp FROM (SELECT *  EXCLUDE (ts), CAST(ts AS BIGINT) AS ts FROM marked) WHERE ts = marker_ts', views.WAL, STAMPED)
+def wal_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.replayed(_stamped(spark, sf_dir))[0].drop("status")
+
+
+@query('SELECT "offset", op, CAST(ts AS BIGINT) AS ts, key, value, CAST(grp AS BIGINT) AS grp FROM marked WHERE marker_ts IS NULL OR ts <> marker_ts', views.WAL, STAMPED)
+def wal_aborted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.replayed(_stamped(spark, sf_dir))[1].drop("status")
+
+
+@query("SELECT max(ts) + 1 AS next_ts FROM versions", views.VERSIONS)
+def recover_next_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    half = bounds(v)[0] // 2
+    return log.next_ts(v.where(F.col("ts") > half), v.where(F.col("ts") <= half).agg(F.max("ts").alias("max_ts")))
+
+
+@query("SELECT greatest(max(CASE WHEN \"offset\" < 100 THEN 100 END), 100 + count(*) FILTER (op = 3 AND \"offset\" >= 100)) AS applied_index FROM wal", views.WAL)
+def recover_applied_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flush after 100 entries, then the rest of the log."""
+    w = views.wal(spark, sf_dir)
+    flushed = spark.range(1).select(F.lit(100).cast("long").alias("applied_index"))
+    return log.applied_index(w.where("offset >= 100"), flushed, 100)
+
+
+@query("SELECT \"offset\", op, key, value FROM wal WHERE \"offset\" = (SELECT max(\"offset\") // 3 FROM wal)", views.WAL)
+def wal_read_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = views.wal(spark, sf_dir)
+    return w.where(F.col("offset") == w.agg(F.max("offset")).first()[0] // 3).drop("status")
+
+
+# Storage
+
+
+@query("SELECT CAST(sum(length(CAST(key AS VARCHAR)) + 8 + 8 + 1 + 64) AS BIGINT) AS bytes, count(*) AS n_entries FROM versions", views.VERSIONS)
+def memtable_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.memtable_size(views.versions(spark, sf_dir), F.length(F.col("key").cast("string")), F.lit(8))
+
+
+@query("SELECT (ts - 1) // 2500 + 1 AS id, count(*) AS n_rows, min(ts) AS min_ts, max(ts) AS max_ts, min(key) AS min_key, max(key) AS max_key FROM versions GROUP BY 1", views.VERSIONS)
+def flush_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.segments(views.versions(spark, sf_dir), FLUSH)
+
+
+@query(
+    """, seg AS (SELECT pos + CASE pos % 1000 WHEN 10 THEN 1 WHEN 11 THEN -1 ELSE 0 END AS pos, key, ts FROM placed),
+pairs AS (SELECT pos, key, ts, lag(key) OVER w AS k0, lag(ts) OVER w AS t0 FROM seg WINDOW w AS (ORDER BY pos))
+SELECT pos, CASE WHEN key = k0 AND ts = t0 THEN 'duplicate' ELSE 'out of order' END AS problem FROM pairs WHERE k0 > key OR (k0 = key AND t0 <= ts)""".lstrip(),
+    views.VERSIONS, "placed AS (SELECT key, ts, row_number() OVER (ORDER BY key, ts DESC) - 1 AS pos FROM versions)",
+)
+def sstable_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment in which two neighbours of each thousand are swapped."""
+    placed = compaction.positions(views.versions(spark, sf_dir))
+    p = F.col("pos") % 1000
+    n = placed.count()
+    swapped = placed.withColumn("pos", F.col("pos") + F.when(p == 10, 1).when(p == 11, -1).otherwise(0))
+    return compaction.order_violations(swapped.where(F.col("pos") <= n))
+
+
+@query(
+    "SELECT pos // 64 AS block, count(*) AS n_records, min(pos) * 64 AS \"offset\", count(*) * 64 AS size, arg_min(key, pos) AS first_key FROM placed GROUP BY 1",
+    views.VERSIONS, "placed AS (SELECT key, ts, row_number() OVER (ORDER BY key, ts DESC) - 1 AS pos FROM versions)",
+)
+def sstable_block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.block_index(compaction.positions(views.versions(spark, sf_dir)), 64)
+
+
+@query("SELECT key, s AS ts, 1 AS op, value FROM ranked WHERE rn = 1 AND op = 1", views.VERSIONS, P, AS_OF)
+def build_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    return snapshot.build_snapshot(v, bounds(v)[0] // 2).select("key", "ts", "op", "value")
+
+
+@query(
+    """, seg AS (SELECT DISTINCT (ts - 1) // 200 + 1 AS id FROM versions),
+old AS (SELECT id FROM seg ORDER BY id LIMIT 4)
+SELECT id, (SELECT max(id) FROM old) AS output_id, (SELECT min(id) FROM old) = (SELECT min(id) FROM seg) AS bottom FROM old WHERE (SELECT count(*) FROM old) >= 4""".lstrip(),
+    views.VERSIONS,
+)
+def compaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.plan(compaction.segments(views.versions(spark, sf_dir), 200))
+
+
+@query("SELECT least((SELECT min(read_snap) FROM txns WHERE txn > 100), (SELECT max(ts) FROM versions)) AS watermark", views.VERSIONS, views.TXNS)
+def gc_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.watermark(views.txns(spark, sf_dir).where("txn > 100"), views.versions(spark, sf_dir))
+
+
+@query(
+    """, n AS (SELECT *, lag(ts) OVER (PARTITION BY key ORDER BY ts DESC) AS newer FROM versions, p)
+SELECT key, ts, op, value FROM n WHERE (newer IS NULL AND NOT (op = 2 AND ts <= w)) OR newer > w""".lstrip(),
+    views.VERSIONS, P,
+)
+def gc_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    return compaction.collected(v, bounds(v)[0] - 100, True)
+
+
+@query("SELECT key, ts, op, value FROM versions", views.VERSIONS)
+def gc_midlayer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir)
+    return compaction.collected(v, bounds(v)[0] - 100, False)
+
+
+@query("SELECT key, ts, op, value FROM ranked WHERE rn = 1 AND op = 1", views.VERSIONS, P, NOW)
+def store_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flush every fifth of the commits to a segment store, compact it, and read what is left."""
+    from .sources.segments import SegmentStore
+
+    v = views.versions(spark, sf_dir)
+    now = bounds(v)[0]
+    store = SegmentStore(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
+    for k in range(5):
+        store.flush(v.where((F.col("ts") > now * k // 5) & (F.col("ts") <= now * (k + 1) // 5)), k + 1)
+    store.compact(now)
+    return snapshot.as_of(store.read()).where(F.col("op") == PUT).select("key", "ts", "op", "value")
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors see; a temporary one in local mode only."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+# Codecs
+
+
+@query(
+    """, coded AS (SELECT key, ts, lower(hex(encode(CAST(key AS VARCHAR)))) || lower(printf('%016x', xor(CAST(ts AS UBIGINT), 18446744073709551615::UBIGINT))) AS encoded FROM versions)
+SELECT key, ts, encoded, CAST(key AS VARCHAR) AS back_key, ts AS back_ts FROM coded""".lstrip(),
+    views.VERSIONS,
+)
+def mvcc_key_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = views.versions(spark, sf_dir).select("key", "ts")
+    coded = v.withColumn("raw", codec.versioned_key(F.col("key").cast("string"), F.col("ts")))
+    return coded.select("key", "ts", F.lower(F.hex("raw")).alias("encoded"), codec.user_key(F.col("raw")).cast("string").alias("back_key"), codec.key_ts(F.col("raw")).alias("back_ts"))
+
+
+@query(
+    """, b AS (SELECT n, least(greatest(bits, 1), 64) AS b FROM (SELECT event_id AS n, event_id % 70 AS bits FROM events))
+SELECT n, CAST(b AS BIGINT) AS bits_a_key, CAST(ceil(greatest(n, 1) * b / 8.0) * 8 AS BIGINT) AS m, CAST(least(greatest(round(b * ln(2)), 1), 30) AS INTEGER) AS k FROM b""".lstrip(),
+)
+def bloom_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), (F.col("event_id") % 70).alias("bits"))
+    m, k = bloom.parameters(F.col("n"), F.col("bits"))
+    return e.select("n", F.least(F.greatest("bits", F.lit(1)), F.lit(64)).cast("long").alias("bits_a_key"), m.alias("m"), k.alias("k"))
+
+
+ORACLE["bloom_params"] = ORACLE["bloom_params"].replace(", b AS", "WITH b AS", 1)
+
+
+@query("SELECT DISTINCT key AS key, true AS maybe FROM versions", views.VERSIONS)
+def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All keys that were added, probed: no false negative."""
+    keys = views.versions(spark, sf_dir).select("key").distinct()
+    m, k = bloom.size(keys.count(), 10)
+    words = bloom.built(keys.select(F.col("key").cast("string").alias("key")), m, k)
+    return bloom.may_contain(keys.select(F.col("key").cast("string").alias("key")), words, m, k).select(F.col("key").cast("long").alias("key"), "maybe")
+
+
+@query()
+def record_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as checksummed log records, decoded again: (event_id, ok)."""
+    e = views.table(spark, sf_dir, "events").drop("ts")
+    coded = e.select(F.col("event_id").alias("log"), codec.record(F.lit(PUT), F.col("event_id"), F.col("event_type"), F.col("props")).alias("data"))
+    back = codec.decoded_records(coded)
+    ok = (F.col("status") == "ok") & (F.col("ts") == F.col("event_id")) & (F.col("key").cast("string") == F.col("event_type")) & (F.col("value").cast("string") == F.coalesce("props", F.lit("")))
+    return back.join(e, back["log"] == e["event_id"]).select("event_id", ok.alias("ok"))
+
+
+ORACLE["record_codec"] = "SELECT event_id, true AS ok FROM events"
+
+
+# Replicated log
+
+MATCH = """heads AS (SELECT node, max(idx) AS last, max(CASE WHEN f.term = l.term THEN idx END) AS match_idx FROM follower_logs f JOIN leader_log l USING (idx) GROUP BY node
+  UNION ALL SELECT 0, max(idx), max(idx) FROM leader_log)"""
+
+
+def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead, follow = views.leader_log(spark, sf_dir), views.follower_logs(spark, sf_dir)
+    same = follow.join(lead.select("idx", F.col("term").alias("lead_term")), "idx")
+    held = same.groupBy("node").agg(F.max(F.when(F.col("term") == F.col("lead_term"), F.col("idx"))).alias("match_idx"))
+    return held.unionByName(lead.select(F.lit(0).alias("node"), F.col("idx").alias("match_idx")).groupBy("node").agg(F.max("match_idx").alias("match_idx")))
+
+
+@query(
+    """, c AS (SELECT match_idx AS idx FROM heads ORDER BY match_idx DESC LIMIT 1 OFFSET 2)
+SELECT CAST(CASE WHEN (SELECT term FROM leader_log WHERE idx = c.idx) = (SELECT max(term) FROM leader_log) THEN c.idx ELSE 0 END AS BIGINT) AS commit_index FROM c""".lstrip(),
+    views.LEADER, views.FOLLOWERS, MATCH,
+)
+def raft_commit_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = views.leader_log(spark, sf_dir)
+    return replication.commit_index(_match(spark, sf_dir), lead, lead.agg(F.max("term")).first()[0], 0)
+
+
+@query("SELECT idx, CAST((3 + event_id % 3) // 2 + 1 AS INTEGER) AS majority, '1,2' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN ',3' ELSE ',3,4' END AS peers FROM leader_log WHERE kind = 1", views.LEADER)
+def raft_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("members")
+    return views.leader_log(spark, sf_dir).where("kind = 1").select("idx", replication.majority(m).alias("majority"), F.array_join(replication.voting_peers(m, 0), ",").alias("peers"))
+
+
+@query("SELECT seq, (last_term, last_idx) >= (own_term, own_idx) AS up_to_date FROM vote_requests", views.REQUESTS)
+def raft_up_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    return views.vote_requests(spark, sf_dir).select("seq", replication.up_to_date(c("last_term"), c("last_idx"), c("own_term"), c("own_idx")).alias("up_to_date"))
+
+
+GRANTS = """grants AS (SELECT r.seq, r.voter, r.term, r.candidate, r.last_idx >= 50 AND r.candidate = c.chosen AS granted FROM vote_requests r
+  LEFT JOIN (SELECT voter, term, arg_min(candidate, seq) AS chosen FROM vote_requests WHERE last_idx >= 50 GROUP BY voter, term) c USING (voter, term))"""
+
+
+def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    r = views.vote_requests(spark, sf_dir)
+    return replication.votes(r.withColumn("eligible", replication.up_to_date(c("last_term"), c("last_idx"), c("own_term"), c("own_idx"))))
+
+
+@query("SELECT seq, voter, term, candidate, coalesce(granted, false) AS granted FROM grants", views.REQUESTS, GRANTS)
+def raft_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _votes(spark, sf_dir).select("seq", "voter", "term", "candidate", "granted")
+
+
+@query("SELECT term, candidate AS winner, count(DISTINCT voter) AS n_votes FROM grants WHERE granted GROUP BY term, candidate HAVING count(DISTINCT voter) >= 3", views.REQUESTS, GRANTS)
+def raft_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replication.winners(_votes(spark, sf_dir), 5)
+
+
+@query("SELECT voter AS node, max(term) AS term FROM vote_requests GROUP BY voter", views.REQUESTS)
+def raft_running_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replication.running_term(views.vote_requests(spark, sf_dir).select(F.col("voter").alias("node"), "term"))
+
+
+@query(
+    """, asked AS (SELECT CAST(node AS INTEGER) AS node, idx AS prev_idx, term AS prev_term FROM leader_log, unnest(range(1, 5)) AS t(node) WHERE idx % 100 = 0)
+SELECT a.node, prev_idx, prev_term, coalesce(f.term = prev_term, false) AS ok FROM asked a LEFT JOIN follower_logs f ON f.node = a.node AND f.idx = prev_idx""".lstrip(),
+    views.LEADER, views.FOLLOWERS,
+)
+def raft_matches_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = views.leader_log(spark, sf_dir).where("idx % 100 = 0").select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("node"), F.col("idx").alias("prev_idx"), F.col("term").alias("prev_term"))
+    return replication.matches_prev(asked, views.follower_logs(spark, sf_dir))
+
+
+@query(
+    """, sent AS (SELECT CAST(node AS INTEGER) AS node, idx, term FROM leader_log, unnest(range(1, 5)) AS t(node) WHERE idx <= (SELECT max(idx) FROM leader_log) - 50 * node),
+cuts AS (SELECT node, min(idx) AS cut FROM follower_logs f JOIN sent s USING (node, idx) WHERE f.term <> s.term GROUP BY node)
+SELECT node, idx, CASE WHEN cut IS NULL OR idx < cut THEN coalesce(f.term, s.term) ELSE s.term END AS term
+FROM follower_logs f FULL JOIN sent s USING (node, idx) LEFT JOIN cuts USING (node)
+WHERE CASE WHEN cut IS NULL OR idx < cut THEN coalesce(f.term, s.term) ELSE s.term END IS NOT NULL""".lstrip(),
+    views.LEADER, views.FOLLOWERS,
+)
+def raft_log_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node n gets the leader's entries up to N - 50 n: shorter than its own log."""
+    lead = views.leader_log(spark, sf_dir)
+    n = lead.agg(F.max("idx")).first()[0]
+    sent = lead.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("node"), "idx", "term").where(F.col("idx") <= n - 50 * F.col("node"))
+    return replication.appended(views.follower_logs(spark, sf_dir), sent)
+
+
+@query("SELECT b.idx AS base_idx, b.term AS base_term, l.idx, l.term FROM leader_log l, leader_log b WHERE b.idx = (SELECT max(idx) // 2 FROM leader_log) AND l.idx > b.idx", views.LEADER)
+def raft_log_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = views.leader_log(spark, sf_dir)
+    return replication.compacted_log(lead, lead.agg(F.max("idx")).first()[0] // 2)
+
+
+@query(
+    """, states AS (SELECT CAST(node AS INTEGER) AS node, CASE WHEN node % 2 = 0 THEN 1 ELSE 1000000 END AS term, CAST(node * 10 AS INTEGER) AS voted FROM unnest(range(1, 5)) AS t(node)),
+logs AS (SELECT node, max(term) AS log_term FROM follower_logs GROUP BY node)
+SELECT node, CAST(greatest(term, coalesce(log_term, 0)) AS BIGINT) AS term, CASE WHEN term >= coalesce(log_term, 0) THEN voted ELSE -1 END AS voted_for FROM states LEFT JOIN logs USING (node)""".lstrip(),
+    views.LEADER, views.FOLLOWERS,
+)
+def raft_restart_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = F.col("id").cast("int")
+    states = spark.range(1, 5).select(node.alias("node"), F.when(F.col("id") % 2 == 0, 1).otherwise(1_000_000).cast("long").alias("term"), (node * 10).alias("voted_for"))
+    return replication.restart_state(states, views.follower_logs(spark, sf_dir))
+
+
+@query(
+    """, c AS (SELECT idx, coalesce(max(CASE WHEN kind = 1 THEN idx END) OVER (ORDER BY idx), 0) AS config_idx FROM leader_log)
+SELECT idx, config_idx, CASE WHEN config_idx = 0 THEN '0,1,2' ELSE '0,1,2' || CASE (config_idx - 1) % 3 WHEN 0 THEN '' WHEN 1 THEN ',3' ELSE ',3,4' END END AS members FROM c""".lstrip(),
+    views.LEADER,
+)
+def raft_config_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replication.config_as_of(views.leader_log(spark, sf_dir), [0, 1, 2]).withColumn("members", F.array_join("members", ","))
+
+
+@query('SELECT idx AS "commit", (SELECT max(idx) FROM leader_log WHERE kind = 1) <= idx AS gate_open FROM leader_log WHERE idx % 50 = 0', views.LEADER)
+def raft_config_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = views.leader_log(spark, sf_dir)
+    return replication.config_gate(lead, lead.where("idx % 50 = 0").select(F.col("idx").alias("commit")))
+
+
+@query(
+    """SELECT string_agg(CAST(server AS VARCHAR), ',' ORDER BY server) AS voters FROM (
+SELECT user_id % 40 AS server, arg_max(event_type, event_id) AS last FROM events WHERE event_type IN ('signup', 'error') GROUP BY 1) WHERE last = 'signup'"""
+)
+def raft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups add a server, errors remove it."""
+    e = views.table(spark, sf_dir, "events").where("event_type IN ('signup', 'error')")
+    changes = e.select(F.col("event_id").alias("seq"), (F.col("user_id") % 40).alias("server"), F.when(F.col("event_type") == "signup", "add").otherwise("remove").alias("action"))
+    return replication.members(changes).select(F.array_join("voters", ",").alias("voters"))
+
+
+@query("SELECT arg_max(voter, term * 1000000000 + seq) AS leader, max(term) AS term FROM vote_requests WHERE role = 'leader'", views.REQUESTS)
+def raft_current_leader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replication.current_leader(views.vote_requests(spark, sf_dir).select(F.col("voter").alias("node"), "term", "seq", "role"))
+
+
+@query(
+    """, k AS (SELECT max(idx) - 200 AS c FROM leader_log)
+SELECT node, max(f.idx) AS applied, count(*) FILTER (f.idx <= c AND f.term = l.term) = max(c) AS equal,
+  count(*) FILTER (f.idx <= c AND f.term = l.term) = max(c) AND max(f.idx) >= max(c) AS converged
+FROM follower_logs f JOIN leader_log l USING (idx), k GROUP BY node""".lstrip(),
+    views.LEADER, views.FOLLOWERS,
+)
+def replica_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lead = views.leader_log(spark, sf_dir)
+    return replication.convergence(views.follower_logs(spark, sf_dir), lead, lead.agg(F.max("idx")).first()[0] - 200)
+
+
+# Checker
+
+
+@query(
+    "SELECT key, CASE WHEN bool_or(kind = 'get' AND starts_with(coalesce(value, ''), 'x')) THEN 'violation' ELSE 'ok' END AS verdict, count(*) AS n_ops FROM history GROUP BY key", views.HISTORY
+)
+def lincheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checker.check(views.history(spark, sf_dir))
+
+
+@query("SELECT * FROM history h WHERE kind = 'get' AND found AND NOT EXISTS (SELECT 1 FROM history w WHERE w.kind = 'put' AND w.key = h.key AND w.value = h.value)", views.HISTORY)
+def lincheck_phantom_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checker.phantom_reads(views.history(spark, sf_dir)).select("key", "client", "kind", "value", "found", "call", "ret")
+
+
+@query(
+    """SELECT call, ret, client, 'client ' || client || ' [' || call || ', ' || ret || '] ' ||
+CASE kind WHEN 'put' THEN 'put ' || value WHEN 'delete' THEN 'delete' ELSE 'get -> ' || coalesce(value, '(absent)') END AS line
+FROM history WHERE key = (SELECT min(key) FROM history WHERE kind = 'get' AND starts_with(coalesce(value, ''), 'x'))""",
+    views.HISTORY,
+)
+def lincheck_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = views.history(spark, sf_dir)
+    first = checker.verdict(checker.check(h)).first()["first_violation"]
+    return checker.witness(h, first or "")
+
+
+@query("SELECT client, key, kind, call AS x, ret - call AS width, client AS lane FROM history", views.HISTORY)
+def history_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checker.lanes(views.history(spark, sf_dir))
+
+
+OUTCOMES = """tries AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'get' ELSE 'put' END AS kind, ['ok', 'maybe', 'timeout', 'conflict', 'failed'][1 + event_id % 5] AS result,
+  event_id % 2 = 0 AS after_uncertain, event_id * 2 AS call, event_id * 2 + 1 AS ret FROM events),
+outs AS (SELECT *, CASE WHEN result = 'ok' THEN ret WHEN kind <> 'get' AND (result IN ('maybe', 'timeout') OR (result = 'conflict' AND after_uncertain)) THEN 9223372036854775807 END AS effective_ret FROM tries)"""
+
+
+@query("SELECT *, effective_ret IS NOT NULL AS recorded FROM outs", OUTCOMES)
+def write_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    e = views.table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_type") == "view", "get").otherwise("put").alias("kind"), F.array(*map(F.lit, ("ok", "maybe", "timeout", "conflict", "failed")))[(i % 5).cast("int")].alias("result"),
+        (i % 2 == 0).alias("after_uncertain"), (i * 2).alias("call"), (i * 2 + 1).alias("ret"),
+    )
+    return checker.write_outcomes(e)
+
+
+# Streams
+
+
+@query("SELECT session, idx, seq, applied FROM dedup", views.SESSIONS, DEDUP)
+def stream_session_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.apply import deduplicated, run_available
+
+    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    source = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    entries = source.select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), F.floor("value").cast("long").alias("seq"))
+    return run_available(deduplicated(entries), f"{at}/out", f"{at}/checkpoint")
+
+
+@query("SELECT key, ts, op, value FROM ranked WHERE rn = 1", views.VERSIONS, P, NOW)
+def stream_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.apply import latest_versions, run_available
+
+    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    e = spark.readStream.schema(views.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
+    versions = e.select(F.col("user_id").alias("key"), (F.col("event_id") + 1).alias("ts"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("op"), "value")
+    return run_available(latest_versions(versions), f"{at}/out", f"{at}/checkpoint", "complete")
+
+
+# Shell
+
+
+@query(
+    """, w AS (SELECT line_no, key, CASE WHEN verb = 'PUT' THEN value END AS stored FROM cmd WHERE verb IN ('PUT', 'DELETE'))
+SELECT line_no, CASE verb WHEN 'PUT' THEN 'OK' WHEN 'DELETE' THEN 'OK' WHEN 'GET' THEN coalesce((SELECT arg_max(coalesce(stored, '(not found)'), w.line_no) FROM w WHERE w.key = c.key AND w.line_no < c.line_no), '(not found)')
+  ELSE 'unknown command: CLICK (try HELP)' END AS output FROM cmd c""".lstrip(),
+    "cmd AS (SELECT event_id AS line_no, CASE event_type WHEN 'purchase' THEN 'GET' WHEN 'view' THEN 'GET' WHEN 'error' THEN 'DELETE' WHEN 'click' THEN 'CLICK' ELSE 'PUT' END AS verb, 'k' || user_id AS key, 'v' || event_id AS value FROM events)",
+)
+def repl_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as shell lines: signups put, purchases and views get, errors delete, clicks are no command."""
+    from .shell import script
+
+    e = views.table(spark, sf_dir, "events")
+    key, t = F.concat(F.lit("k"), F.col("user_id").cast("string")), F.col("event_type")
+    line = (
+        F.when(t.isin("purchase", "view"), F.concat(F.lit("get "), key))
+        .when(t == "error", F.concat(F.lit(" DEL  "), key))
+        .when(t == "click", F.concat(F.lit("click "), key))
+        .otherwise(F.concat(F.lit("Put "), key, F.lit(" v"), F.col("event_id").cast("string")))
+    )
+    return script(e.select(F.col("event_id").alias("line_no"), line.alias("line")))
+
+
+for _name, _sql in list(ORACLE.items()):  # a query's own expressions follow the shared ones
+    if _sql.startswith("WITH"):
+        ORACLE[_name] = _sql.replace(") , ", "), ", 1)

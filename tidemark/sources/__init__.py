@@ -1 +1 @@
-
+"""Sources and sinks: tables, segments with a manifest, binary logs."""

@@ -1 +1 @@
-
+"""Incremental apply with Structured Streaming."""
