@@ -462,7 +462,7 @@ def bloom_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def record_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events as checksummed log records, decoded again: (event_id, ok)."""
-    e = views.table(spark, sf_dir, "events").drop("ts")
+    e = views.table(spark, sf_dir, "events").select("event_id", "event_type", "props")
     coded = e.select(F.col("event_id").alias("log"), codec.record(F.lit(PUT), F.col("event_id"), F.col("event_type"), F.col("props")).alias("data"))
     back = codec.decoded_records(coded)
     ok = (F.col("status") == "ok") & (F.col("ts") == F.col("event_id")) & (F.col("key").cast("string") == F.col("event_type")) & (F.col("value").cast("string") == F.coalesce("props", F.lit("")))

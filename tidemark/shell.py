@@ -8,7 +8,7 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The longest line that is read, in bytes.
@@ -38,10 +38,9 @@ def script(lines: DataFrame) -> DataFrame:
     commands = parsed(lines)
     stop = commands.where("verb = 'EXIT'").agg(F.coalesce(F.min("line_no"), F.lit((1 << 62))).alias("stop"))
     live = commands.where("n > 0").join(F.broadcast(stop), F.col("line_no") < F.col("stop")).drop("stop")  # one row
-    writes = live.where("ok AND verb IN ('PUT', 'DELETE')").select("key", F.col("line_no").alias("at"), F.when(F.col("verb") == "PUT", F.col("value")).alias("stored"))
-    reads = live.where("ok AND verb = 'GET'").select("line_no", "key")
-    seen = reads.join(writes, (reads["key"] == writes["key"]) & (writes["at"] < reads["line_no"]), "left").groupBy("line_no").agg(F.max_by("stored", "at").alias("stored"))
-    joined = live.join(seen, "line_no", "left")
+    before = Window.partitionBy("key").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    wrote = F.when(F.col("ok") & F.col("verb").isin("PUT", "DELETE"), F.struct(F.when(F.col("verb") == "PUT", F.col("value")).alias("value")))
+    joined = live.withColumn("stored", F.last(wrote, True).over(before)["value"])
     usage = F.col("verb")
     said = (
         F.when(F.col("verb") == "HELP", HELP)
