@@ -40,35 +40,53 @@ def _crc_list() -> list[int]:
     return _crc_cache
 
 
-def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes as a padded matrix, lengths) of binary values."""
-    values = [x or b"" for x in column.to_pylist()]
-    lengths = np.array([len(v) for v in values], np.int64)
-    out = np.zeros((len(values), int(lengths.max(initial=0))), np.uint8)
-    for i, v in enumerate(values):
-        out[i, : len(v)] = np.frombuffer(v, np.uint8)
-    return out, lengths
+#: Bytes of a padded block of values that are hashed together.
+_BLOCK = 4 << 20
+
+
+def _blocks(values: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, padded bytes, lengths) of values of like lengths, in blocks of bounded size."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and (stop + 1 - at) * int(sizes[order[stop]]) <= _BLOCK:
+            stop += 1
+        rows = order[at:stop]
+        width = int(sizes[rows[-1]])
+        raw = np.frombuffer(b"".join(values[i].ljust(width, b"\0") for i in rows.tolist()), np.uint8).reshape(len(rows), width)
+        yield rows, raw, sizes[rows]
+        at = stop
+
+
+def crc32c_many(values: list[bytes]) -> np.ndarray:
+    """CRC-32C of each value, all values of a block a byte at a time."""
+    table, out = _byte_table(_CASTAGNOLI), np.zeros(len(values), np.int64)
+    for rows, raw, lengths in _blocks(values):
+        crc = np.full(len(rows), 0xFFFFFFFF, np.uint32)
+        for k in range(raw.shape[1]):
+            crc = np.where(k < lengths, table[(crc ^ raw[:, k]) & 0xFF] ^ (crc >> np.uint32(8)), crc)
+        out[rows] = crc ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 @F.arrow_udf(LongType())
 def crc32c(data: pa.Array) -> pa.Array:
-    """CRC-32C of binary values, all rows of a batch a byte at a time."""
-    table = _byte_table(_CASTAGNOLI)
-    raw, lengths = _ragged(data)
-    crc = np.full(len(lengths), 0xFFFFFFFF, np.uint32)
-    for k in range(raw.shape[1]):
-        crc = np.where(k < lengths, table[(crc ^ raw[:, k]) & 0xFF] ^ (crc >> np.uint32(8)), crc)
-    return pa.array((crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64))
+    return pa.array(crc32c_many([x or b"" for x in data.to_pylist()]))
 
 
 @F.arrow_udf(LongType())
 def fnv1a64(data: pa.Array) -> pa.Array:
     """FNV-1a, 64 bits, as a signed long."""
-    raw, lengths = _ragged(data)
-    h = np.full(len(lengths), 0xCBF29CE484222325, np.uint64)
-    for k in range(raw.shape[1]):
-        h = np.where(k < lengths, (h ^ raw[:, k]) * np.uint64(0x100000001B3), h)
-    return pa.array(h.view(np.int64))
+    values = [x or b"" for x in data.to_pylist()]
+    out = np.zeros(len(values), np.uint64)
+    for rows, raw, lengths in _blocks(values):
+        h = np.full(len(rows), 0xCBF29CE484222325, np.uint64)
+        for k in range(raw.shape[1]):
+            h = np.where(k < lengths, (h ^ raw[:, k]) * np.uint64(0x100000001B3), h)
+        out[rows] = h
+    return pa.array(out.view(np.int64))
 
 
 def big_endian(x: Column, width: int = 8) -> Column:
@@ -119,10 +137,14 @@ def decoded_records(logs: DataFrame, data: str = "data") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows: list[tuple] = []
             for log, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(log, *r) for r in records(raw or b"")]
-                for at in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_pydict(dict(zip(_RECORDS.names, map(list, zip(*rows[at : at + 10_000])))), schema=_RECORDS)
+                rows += [(log, *r) for r in frames(raw or b"")]
+                if len(rows) >= 10_000:
+                    yield pa.RecordBatch.from_pydict(checked(rows), schema=_RECORDS)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pydict(checked(rows), schema=_RECORDS)
 
     return logs.select(F.col("log").cast("long"), F.col(data).cast("binary")).mapInArrow(run, schema)
 
@@ -130,18 +152,33 @@ def decoded_records(logs: DataFrame, data: str = "data") -> DataFrame:
 _RECORDS = pa.schema([("log", pa.int64()), ("offset", pa.int64()), ("op", pa.int32()), ("ts", pa.int64()), ("key", pa.binary()), ("value", pa.binary()), ("status", pa.string())])
 
 
-def records(raw: bytes) -> Iterator[tuple]:
+def frames(raw: bytes) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, record) by the lengths in the headers; a last (offset, None) where the bytes end inside one."""
     at = 0
     while at < len(raw):
         head = raw[at : at + HEADER]
-        klen, vlen = int.from_bytes(head[13:17], "little"), int.from_bytes(head[17:21], "little")
-        end = at + HEADER + klen + vlen
+        end = at + HEADER + int.from_bytes(head[13:17], "little") + int.from_bytes(head[17:21], "little")
         if len(head) < HEADER or end > len(raw):
-            yield at, None, None, None, None, "torn"
-            return
-        op, ts = head[4], int.from_bytes(head[5:13], "little", signed=True)
-        status = "corrupt" if crc32c_bytes(raw[at + 4 : end]) != int.from_bytes(head[:4], "little") else "ok" if op in (PUT, DELETE, COMMIT) else "invalid_op"
-        yield at, op, ts, raw[at + HEADER : at + HEADER + klen], raw[at + HEADER + klen : end], status
-        if status != "ok":
+            yield at, None
             return
+        yield at, raw[at:end]
         at = end
+
+
+def checked(rows: list[tuple]) -> dict[str, list]:
+    """Columns of framed rows (log, offset, record) of whole logs, each up to its first bad record."""
+    sums = crc32c_many([r[2][4:] if r[2] else b"" for r in rows]).tolist()
+    out, bad = [], None
+    for (log, at, raw), crc in zip(rows, sums):
+        if at == 0:
+            bad = False
+        if bad:
+            continue
+        if raw is None:
+            out.append((log, at, None, None, None, None, "torn"))
+            continue
+        key = HEADER + int.from_bytes(raw[13:17], "little")
+        status = "corrupt" if crc != int.from_bytes(raw[:4], "little") else "ok" if raw[4] in (PUT, DELETE, COMMIT) else "invalid_op"
+        out.append((log, at, raw[4], int.from_bytes(raw[5:13], "little", signed=True), raw[HEADER:key], raw[key:], status))
+        bad = status != "ok"
+    return dict(zip(_RECORDS.names, map(list, zip(*out)))) if out else {n: [] for n in _RECORDS.names}

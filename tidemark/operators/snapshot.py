@@ -58,9 +58,13 @@ def tristate(versions: DataFrame, snapshot: int | None = None) -> DataFrame:
 
 def merged(*layers: DataFrame) -> DataFrame:
     """Layers from newest to oldest as one relation: of versions with equal (key, ts) the newest layer's stays."""
-    tagged = [layer.withColumn("layer", F.lit(i)) for i, layer in enumerate(layers)]
-    rest = [c for c in layers[0].columns if c not in ("key", "ts")]
-    return reduce(DataFrame.unionByName, tagged).groupBy("key", "ts").agg(*[F.min_by(c, "layer").alias(c) for c in rest], F.min("layer").alias("layer"))
+    return merged_rows(reduce(DataFrame.unionByName, [layer.withColumn("layer", F.lit(i)) for i, layer in enumerate(layers)]))
+
+
+def merged_rows(tagged: DataFrame) -> DataFrame:
+    """The same for rows that carry their layer (0 is the newest): one aggregate over one scan."""
+    rest = [c for c in tagged.columns if c not in ("key", "ts", "layer")]
+    return tagged.groupBy("key", "ts").agg(*[F.min_by(c, "layer").alias(c) for c in rest], F.min("layer").alias("layer"))
 
 
 def snapshot_scan(versions: DataFrame, applied_index: int) -> DataFrame:

@@ -67,23 +67,16 @@ def get_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.tristate(v, bounds(v)[0] // 2)
 
 
-def _layers(v: DataFrame, now: int) -> list[DataFrame]:
-    """Flushes from newest to oldest; each also repeats the newest version of the one before with another value."""
-    cuts = list(range(0, now, FLUSH))
-    out = []
-    for lo in cuts:
-        own = v.where((F.col("ts") > lo) & (F.col("ts") <= lo + FLUSH))
-        again = v.where(F.col("ts") == lo).withColumn("value", -F.col("value"))
-        out.append(own.unionByName(again))
-    return out[::-1]
+def _layered(v: DataFrame, now: int) -> DataFrame:
+    """Versions with the flush they are in as their layer, 0 the newest."""
+    return v.withColumn("layer", compaction.segment_of(F.lit(now), FLUSH) - compaction.segment_of(F.col("ts"), FLUSH))
 
 
 @query("SELECT key, ts, value FROM ranked WHERE rn = 1 AND op = 1", views.VERSIONS, P, AS_OF)
 def layered_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.versions(spark, sf_dir)
     now = bounds(v)[0]
-    layers = [v.where((F.col("ts") > lo) & (F.col("ts") <= lo + FLUSH)) for lo in range(0, now, FLUSH)][::-1]
-    return snapshot.scan(snapshot.merged(*layers).drop("layer"), now // 2)
+    return snapshot.scan(snapshot.merged_rows(_layered(snapshot.visible(v, now // 2), now)).drop("layer"))
 
 
 @query("SELECT key, ts, value FROM ranked WHERE rn = 1 AND op = 1 AND key >= lo AND key < hi", views.VERSIONS, P, AS_OF)
@@ -121,8 +114,12 @@ def iterate_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT key, ts, CASE WHEN ts % 2500 = 0 AND ts < (SELECT now FROM p) THEN -value ELSE value END AS value, op FROM versions", views.VERSIONS, P
 )
 def merge_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each flush but the first also repeats the newest version of the one before, with another value."""
     v = views.versions(spark, sf_dir)
-    return snapshot.merged(*_layers(v, bounds(v)[0])).drop("layer")
+    now = bounds(v)[0]
+    tagged = _layered(v, now)
+    again = tagged.where((F.col("ts") % FLUSH == 0) & (F.col("ts") < now)).withColumns({"value": -F.col("value"), "layer": F.col("layer") - 1})
+    return snapshot.merged_rows(tagged.unionByName(again)).drop("layer")
 
 
 @query("SELECT key, max(ts) AS newest_ts FROM versions GROUP BY key", views.VERSIONS)
