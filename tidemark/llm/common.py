@@ -39,7 +39,10 @@ def drop_staged(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer splits than there are cores (a small file) is dealt to all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def by_batch(df: DataFrame, schema: str, each: Callable[[pa.RecordBatch], dict], limit: int = 8 << 20) -> DataFrame:
