@@ -56,7 +56,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linked(*exchanges(table(spark, sf_dir, "conversations")))
+    found = linked(*exchanges(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return found.withColumn("errors", F.array_join("errors", ";"))
 
 
