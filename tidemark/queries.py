@@ -530,12 +530,12 @@ def raft_running_term(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, asked AS (SELECT CAST(node AS INTEGER) AS node, idx AS prev_idx, term AS prev_term FROM leader_log, unnest(range(1, 5)) AS t(node) WHERE idx % 100 = 0)
+    """, asked AS (SELECT CAST(node AS INTEGER) AS node, idx AS prev_idx, term AS prev_term FROM leader_log, unnest(range(1, 5)) AS t(node))
 SELECT a.node, prev_idx, prev_term, coalesce(f.term = prev_term, false) AS ok FROM asked a LEFT JOIN follower_logs f ON f.node = a.node AND f.idx = prev_idx""".lstrip(),
     views.LEADER, views.FOLLOWERS,
 )
 def raft_matches_prev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = views.leader_log(spark, sf_dir).where("idx % 100 = 0").select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("node"), F.col("idx").alias("prev_idx"), F.col("term").alias("prev_term"))
+    asked = views.leader_log(spark, sf_dir).select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("node"), F.col("idx").alias("prev_idx"), F.col("term").alias("prev_term"))
     return replication.matches_prev(asked, views.follower_logs(spark, sf_dir))
 
 
@@ -582,10 +582,10 @@ def raft_config_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replication.config_as_of(views.leader_log(spark, sf_dir), [0, 1, 2]).withColumn("members", F.array_join("members", ","))
 
 
-@query('SELECT idx AS "commit", (SELECT max(idx) FROM leader_log WHERE kind = 1) <= idx AS gate_open FROM leader_log WHERE idx % 50 = 0', views.LEADER)
+@query('SELECT idx AS "commit", (SELECT max(idx) FROM leader_log WHERE kind = 1) <= idx AS gate_open FROM leader_log', views.LEADER)
 def raft_config_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lead = views.leader_log(spark, sf_dir)
-    return replication.config_gate(lead, lead.where("idx % 50 = 0").select(F.col("idx").alias("commit")))
+    return replication.config_gate(lead, lead.select(F.col("idx").alias("commit")))
 
 
 @query(
