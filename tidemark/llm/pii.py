@@ -82,6 +82,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def ip_parts(span: str) -> list[int]:
+    """The numbers of a dotted span, 1000 for all beyond 999; a part may have any number of zeros before it."""
+    significant = [p.lstrip("0") for p in span.split(".")]
+    return [int(p or "0") if len(p) <= 3 else 1000 for p in significant]
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping e-mail spans: every '@' has one run of local characters before it."""
     end, at = 0, text.find("@")
@@ -99,7 +105,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if max(ip_parts(m.group())) <= 255]
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -157,9 +163,9 @@ def votes(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
         gazetteer = int(last in TOP_LEVEL)
         strict = int(bool(re.match(r"[A-Za-z0-9]", span)) and ".." not in span)
     elif kind == "ip":
-        parts = [int(x) for x in span.split(".")]
+        parts = ip_parts(span)
         check = int(parts[0] not in (0, 127, 255) and parts != [1, 2, 3, 4])
-        strict = int(all(p == str(int(p)) for p in span.split(".")))
+        strict = int(span == ".".join(map(str, parts)))
     elif kind == "ipv6":
         strict = int(span.count(":") >= 4)
         check = int(span.count("::") <= 1)
