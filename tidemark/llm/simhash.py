@@ -211,12 +211,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = components(links(nodes.where("node IS NOT NULL")))
     classes = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def distinct_documents(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate component, the one with its smallest doc_id; all columns.
-
-    Rows without a doc_id stay if no row with one shares their component.
-    """
-    gone = near_duplicates(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")), "left_anti")
