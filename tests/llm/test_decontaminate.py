@@ -71,3 +71,20 @@ def test_empty(spark):
     assert contamination(docs_frame(spark, []), bench).collect() == []
     assert {r.n_hit for r in contamination(docs_frame(spark, AWKWARD), bench).collect()} == {0}
     assert decontaminated(docs_frame(spark, AWKWARD), bench).count() == len(AWKWARD)
+
+
+def test_null_and_repeated_ids_in_several_shards(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(None, f"first text {item} and more words that stay in the text after it"), (None, "clean and short"), (None, None)]
+    rows += [(5, "clean text of a repeated number"), (5, f"a b c d e f g h i j k l m n {item}"), (5, item), (6, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "red green blue grey pink black white brown cyan gold"), (3, "a b c d")], "item_id long, text string")
+
+    def hits(shard_words):
+        return sorted(repr(r) for r in benchmark_hits(docs, bench, shard_words=shard_words).collect())
+
+    def left(shard_words):
+        return sorted(repr(r) for r in decontaminated(docs, bench, shard_words=shard_words).collect())
+
+    assert len(hits(8)) == len(rows) and hits(8) == hits(500_000)
+    assert len(left(8)) == 5 and left(8) == left(500_000)

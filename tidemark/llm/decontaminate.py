@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,42 +160,62 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """(doc_id, n_words, n_hit, items array, spans array<struct<start,stop>>, longest) per row of docs.
 
     Spans are half-open word positions. Null texts have no words; items with null text or id never hit.
-    Rows that repeat a doc_id keep a row each (with several shards they must not; then hits of equal ids
-    are merged). Other columns are not read. Empty tables give no rows or no hits.
+    Rows that repeat a doc_id, or have none, keep a row each. Other columns are not read. Empty tables give
+    no rows or no hits. For several shards the documents are staged once with a row number, by which the
+    shards' hits are merged.
     """
-    spark = docs.sparkSession
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>, longest int"
+    shards = _shards(benchmark, shard_words, window)
+    ahead = list(itertools.islice(shards, 2))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
-    for automaton in _shards(benchmark, shard_words, window):
-        shared = spark.sparkContext.broadcast(automaton)
-
-        def each(batch: pa.RecordBatch, shared=shared) -> dict:
-            rows = []
-            for text in raw_bytes(batch.column("text")):
-                words = words_of(text)
-                spans, found, longest = shared.value.search(words)
-                rows.append((len(words), sum(b - a for a, b in spans), sorted(found), [{"start": a, "stop": b} for a, b in spans], longest))
-            return {"doc_id": batch.column("doc_id")} | dict(zip(("n_words", "n_hit", "items", "spans", "longest"), zip(*rows) if rows else [[]] * 5))
-
-        parts.append(by_batch(narrow, schema, each))
-    if len(parts) == 1:
-        return parts[0]
-    parts = [staged(p if not k else p.where("n_hit > 0"), "hits") for k, p in enumerate(parts)]
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
+    if len(ahead) == 1:
+        return _hits(narrow, ahead[0]).drop("_row")
+    return _merged(_numbered(narrow), itertools.chain(ahead, shards)).drop("_row")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs, staged, with a number _row of each row."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def _hits(narrow: DataFrame, automaton: Automaton) -> DataFrame:
+    """The hits of one shard per row of (doc_id, text), with _row if there is one."""
+    schema = "_row long, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>, longest int"
+    if "_row" not in narrow.columns:
+        narrow = narrow.withColumn("_row", F.lit(None).cast("long"))
+    shared = narrow.sparkSession.sparkContext.broadcast(automaton)
+
+    def each(batch: pa.RecordBatch) -> dict:
+        rows = []
+        for text in raw_bytes(batch.column("text")):
+            words = words_of(text)
+            spans, found, longest = shared.value.search(words)
+            rows.append((len(words), sum(b - a for a, b in spans), sorted(found), [{"start": a, "stop": b} for a, b in spans], longest))
+        names = ("n_words", "n_hit", "items", "spans", "longest")
+        return {c: batch.column(c) for c in ("_row", "doc_id")} | dict(zip(names, zip(*rows) if rows else [[]] * 5))
+
+    return by_batch(narrow, schema, each)
+
+
+def _merged(numbered: DataFrame, shards: Iterable[Automaton]) -> DataFrame:
+    """The hits of all shards per row of (_row, doc_id, text); one shard is streamed at a time."""
+    merged = None
+    for automaton in shards:
+        part = _hits(numbered, automaton)
+        # a shard without hits may still have the longest match
+        part = staged(part if merged is None else part.where("longest > 0"), "hits")
+        merged = part if merged is None else merged.unionByName(part)
     merge = F.udf(_union, "array<struct<start:int,stop:int>>")
     return (
-        merged.groupBy("doc_id")
+        merged.groupBy("_row")
         .agg(
+            F.max("doc_id").alias("doc_id"),
             F.max("n_words").alias("n_words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
             merge(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.max("longest").alias("longest"),
         )
         .withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)"))
-        .select("doc_id", "n_words", "n_hit", "items", "spans", "longest")
+        .select("_row", "doc_id", "n_words", "n_hit", "items", "spans", "longest")
     )
 
 
@@ -226,20 +246,23 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = WINDO
 
     Cut spans leave one space; texts without hits keep their bytes. All columns of docs stay; n_chars, if
     there is one, is set anew where the text changed. A benchmark of one shard is cut while the documents
-    stream by; for several, the merged hits are joined on doc_id first.
+    stream by; for several, the merged hits are joined on a row number first.
     """
     names = docs.columns
-    shards = list(itertools.islice(_shards(benchmark, shard_words, min_words), 2))
-    if len(shards) == 1:
-        shared = docs.sparkSession.sparkContext.broadcast(shards[0])
+    shards = _shards(benchmark, shard_words, min_words)
+    ahead = list(itertools.islice(shards, 2))
+    if len(ahead) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(ahead[0])
         known, plan = docs, docs.schema
 
         def spans_of(batch: pa.RecordBatch, texts: list[bytes | None]) -> list[list[tuple[int, int]]]:
             return [shared.value.search(words_of(t))[0] for t in texts]
 
     else:
-        hits = benchmark_hits(docs, benchmark, min_words, shard_words).select(F.col("doc_id").alias("_hit_id"), F.col("spans").alias("_spans"))
-        known, plan = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left").drop("_hit_id"), docs.schema
+        numbered = _numbered(docs)
+        narrow = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        hits = _merged(narrow, itertools.chain(ahead, shards)).select("_row", F.col("spans").alias("_spans"))
+        known, plan = numbered.join(hits, "_row").select(*names, "_spans"), docs.schema
 
         def spans_of(batch: pa.RecordBatch, texts: list[bytes | None]) -> list[list[tuple[int, int]]]:
             return [[(x["start"], x["stop"]) for x in row or ()] for row in batch.column("_spans").to_pylist()]
