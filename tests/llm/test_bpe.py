@@ -60,3 +60,35 @@ def test_frames(spark, library):
         assert r.n_tokens == len(want) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(text_back.encode()).hexdigest() and back[i] == text_back
     assert round_trip(docs_frame(spark, []), PATH).collect() == []
+
+
+def test_all_code_points(library):
+    """Every code point of the planes that have letters, marks or numbers (the rest is unassigned or private: some of it),
+    in seven contexts: before 's, after a letter, a number, a mark and white space, twice, and alone."""
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x3FFFF), *range(0x40000, 0x110000, 997), *range(0xE0000, 0xE0200)]]
+    wrong = []
+    for start in range(0, len(points), 50_000):
+        part = [f"{c}'s\na{c}\n1{c}\n!{c}\n {c}x\n  {c}\n{c}{c} {c}" for c in points[start : start + 50_000]]
+        want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
+        wrong += [t for t, w, g in zip(part, want, codec(PATH).encode_batch(part)) if w != g]
+    assert wrong == []
+
+
+@pytest.mark.parametrize("text", ["a" * 30_000, "ab" * 2_000, "xyzzy" * 999, "日本語" * 3_000, "é" * 5_001, "0123456789" * 700, "=" * 3_000, "thequickbrownfox" * 500])
+def test_long_pieces(library, text):
+    assert ids(text) == library.encode(text, add_special_tokens=False).ids
+    v = codec(PATH).vocabulary
+    assert v.encode_long(text.encode()[:600]) == v.encode_pieces([text.encode()[:600]])[0]
+
+
+def test_a_long_word_takes_linear_time():
+    import random
+    import time
+
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)).encode()
+    v = codec(PATH).vocabulary
+    v.encode_long(word[:50_000])
+    began = time.process_time()
+    v.encode_long(word)
+    assert time.process_time() - began < 20

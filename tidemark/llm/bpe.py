@@ -1,8 +1,8 @@
 """Byte-level BPE by dynamic programming over prefixes.
 
 For every prefix of a piece the exact encoding has one last token. Candidates are the vocabulary's matches
-that end at the prefix (found by an Aho-Corasick automaton over suffix links); the one that is compatible
-with the last token of the prefix before it is stored. Two tokens are compatible if no merge across their
+that end at the prefix: an automaton with suffix links over the vocabulary (Aho-Corasick: only whole tokens
+are of use, not all their substrings) leads from the longest to the shortest. The one that is compatible with the last token of the prefix before it is stored. Two tokens are compatible if no merge across their
 border would have come before the merges that built them. Back-pointers then give the ids.
 
 Pieces (the pre-tokenizer's words) are encoded once and kept in a bounded table of each Python worker.
@@ -29,12 +29,45 @@ from .common import by_batch
 PIECES = 200_000
 #: Bytes of text whose pieces are encoded together.
 BATCH = 1 << 20
+#: Pieces of more bytes are encoded one by one, in time linear in their length.
+LONG = 512
+#: Answers on pairs of tokens that a worker keeps for long pieces.
+PAIRS = 1_000_000
 
 # The published pre-tokenizer pattern, with its white space spelled out.
 _SPACE = r"\t-\r \x85\xa0  -     　"
-PATTERN = regex.compile(
-    rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+# Code points that the regex module calls letters or numbers and Unicode 16, which the
+# tokenizers library follows, does not.
+_NEWER_LETTERS = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 "
+    "1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F "
+    "2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
 )
+_NEWER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
+def _ranges(points: str) -> str:
+    """Hexadecimal code points and ranges as the inside of a character set."""
+    return "".join("-".join(rf"\U{int(x, 16):08X}" for x in r.split("-")) for r in points.split())
+
+
+def _pattern(letter: str, number: str) -> regex.Pattern:
+    other = rf"[[^{_SPACE}]--{letter}--{number}]"
+    return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+
+
+#: For texts without newer code points, and for all.
+PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+FULL_PATTERN = _pattern(rf"[\p{{L}}--[{_ranges(_NEWER_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(_NEWER_NUMBERS)}]]")
+_NEWER = re.compile(f"[{_ranges(_NEWER_LETTERS)}{_ranges(_NEWER_NUMBERS)}]")
+
+
+def pretokenized(text: str) -> list[str]:
+    """The pre-tokenizer's words of a text without special tokens."""
+    return (PATTERN if text.isascii() or not _NEWER.search(text) else FULL_PATTERN).findall(text)
+
+
 # Where cutting at single white spaces could part some that belong together (or the mark of a cut is in the text).
 _RUN = re.compile(rf"[{_SPACE}][{_SPACE}]| \Z|\0")
 
@@ -110,6 +143,7 @@ class Vocabulary:
         self.size[list(self.token)] = [len(t) for t in self.token.values()]
         self.found_size = self.size[self.found_id]
         self.pairs, self.fits = np.array([-1]), np.array([False])
+        self.answers: dict[tuple[int, int], bool] = {}
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging left's and right's bytes keeps the border between them.
@@ -148,6 +182,34 @@ class Vocabulary:
             at = np.searchsorted(self.pairs, pairs)
         return self.fits[at]
 
+    def encode_long(self, piece: bytes) -> bytes:
+        """The exact ids of one piece: the same recurrence as encode_pieces(), byte by byte without arrays."""
+        step, row = memoryview(self.next.reshape(-1)), memoryview(self.row)
+        first, found, sizes = memoryview(self.first), memoryview(self.found_id), memoryview(self.found_size)
+        last, state, answers = [0] * (len(piece) + 1), 0, self.answers
+        for i, byte in enumerate(piece, 1):
+            state = step[row[state] * 256 + byte]
+            at = first[state]
+            while True:
+                token, n = found[at], sizes[at]
+                if n == i:
+                    break
+                pair = last[i - n], token
+                fits = answers.get(pair)
+                if fits is None:
+                    if len(answers) >= PAIRS:
+                        answers.clear()
+                    fits = answers[pair] = self._compatible(*pair)
+                if fits:
+                    break
+                at += 1
+            last[i] = token
+        ids, at = [], len(piece)
+        while at:
+            ids.append(last[at])
+            at -= int(self.size[last[at]])
+        return np.array(ids[::-1], "<u4").tobytes()
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Exact ids of pre-tokenized pieces, as little-endian 32-bit integers.
 
@@ -200,7 +262,7 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         """Cut a text where the pre-tokenizer always cuts; a piece may still hold several of its words."""
         if _RUN.search(text):
-            return PATTERN.findall(text)
+            return pretokenized(text)
         # no two white spaces meet: a new line is a word, and a space starts one
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
@@ -230,8 +292,14 @@ class Codec:
             known[p] = self.old[p]
         for text, i in v.special.items():
             known[text] = i.to_bytes(4, "little")
-        words = {p: PATTERN.findall(p) for p in new.difference(again, known)}
-        single = list({w for ws in words.values() for w in ws if w not in known})
+        words = {p: pretokenized(p) for p in new.difference(again, known)}
+        single = []
+        for w in {w for ws in words.values() for w in ws if w not in known}:
+            raw = w.encode()
+            if len(raw) > LONG:
+                known[w] = v.encode_long(raw)
+            else:
+                single.append(w)
         at = 0
         while at < len(single):  # few long pieces, or many short ones, at a time
             size, stop = 0, at

@@ -6,9 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+#: Bits of a membership filter at most: 32 MB are broadcast. Beyond about 30 million keys it lets more rows through.
+FILTER_BITS = 1 << 28
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,14 +33,73 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+#: Paths of this process's staged tables that are not dropped yet.
+_written: list[str] = []
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that nothing will read again."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def drop_staged(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables staged since then (a number from written()), but the one that `keep` reads."""
+    drop(spark, *[p for p in _written[since:] if p != getattr(keep, "staged_at", None)])
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every staged table of this session's shared folder, once results are written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def written() -> int:
+    """How many staged tables there are."""
+    return len(_written)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that df does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def membership(keys: DataFrame, most_bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """A test of long columns: true for every key of a one-column table of longs, and for few other values.
+
+    A Bloom filter of at most `most_bits` bits, so what is broadcast is bounded; with more keys than that is
+    good for, more values pass and none is lost: callers go on exactly with what passes.
+    """
+    key = keys.columns[0]
+    bits = 1 << 10
+    n = keys.count()
+    while bits < min(most_bits, 10 * n):
+        bits *= 2
+    places = lambda c: [F.pmod(F.xxhash64(F.lit(i), c), F.lit(bits)) for i in range(3)]
+    bit = keys.where(F.col(key).isNotNull()).select(F.explode(F.array(*places(F.col(key)))).alias("bit"))
+    word = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[word.column("word").to_numpy()] = word.column("bits").to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    @F.arrow_udf(BooleanType())
+    def passes(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+        hit = np.ones(len(a), bool)
+        for x in (a, b, c):
+            at = x.to_numpy(zero_copy_only=False).astype(np.int64)
+            hit &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return pa.array(hit)
+
+    return lambda c: passes(*places(c))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,7 +171,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .union(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        pairs = staged(small, "stars")
+        before, pairs = pairs, staged(small, "stars")
+        drop(pairs.sparkSession, before.staged_at)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
