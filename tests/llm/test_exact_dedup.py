@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.exact_dedup import exact_duplicates, rice_decode, rice_encode
+from tidemark.llm.exact_dedup import deduplicated, exact_duplicates, rice_decode, rice_encode
 
 from .helpers import AWKWARD, clashing, docs_frame
 
@@ -30,8 +30,9 @@ def test_against_brute_force(spark):
     rng = random.Random(1)
     texts = AWKWARD + [rng.choice(["a b", "a  b", "c", "d e f", " a b"]) for _ in range(200)] + [f"own {i}" for i in range(50)]
     df = clashing(docs_frame(spark, texts)).repartition(5)
-    got = {tuple(r) for r in exact_duplicates(df).collect()}
-    assert got == brute(list(enumerate(texts)))
+    for block_rows in (1 << 22, 16):
+        got = [tuple(r) for r in exact_duplicates(df, block_rows=block_rows).collect()]
+        assert len(got) == len(texts) and set(got) == brute(list(enumerate(texts)))
 
 
 def test_repeated_and_null_ids(spark):
@@ -42,3 +43,12 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty(spark):
     assert exact_duplicates(docs_frame(spark, [])).collect() == []
+
+
+def test_stage_keeps_ties_and_clashing_columns(spark):
+    rows = [(3, "a  b"), (5, "a b"), (5, "own"), (None, "a b"), (None, "c"), (3, "a  b"), (7, None), (8, "")]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string")).selectExpr("*", "1 AS gone_id", "1 AS GONE_SHA", "1 AS _gone_id")
+    got = deduplicated(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, "a  b"), (3, "a  b"), (5, "own"), (None, "c"), (7, None)], key=str)
+    assert deduplicated(df.where("false")).count() == 0

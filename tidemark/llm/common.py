@@ -52,14 +52,15 @@ def drop(spark: SparkSession, *paths: str) -> None:
             _written.remove(path)
 
 
-def drop_staged(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete the tables staged since then (a number from written()), but the one that `keep` reads."""
-    drop(spark, *[p for p in _written[since:] if p != getattr(keep, "staged_at", None)])
+def written() -> frozenset[str]:
+    """The staged tables that are not dropped yet."""
+    return frozenset(_written)
 
 
-def written() -> int:
-    """How many staged tables there are."""
-    return len(_written)
+def drop_staged(spark: SparkSession, before: frozenset[str] = frozenset(), *keep: DataFrame) -> None:
+    """Delete all staged tables but those that were there before and those that `keep` read."""
+    kept = before | {getattr(k, "staged_at", "") for k in keep}
+    drop(spark, *[p for p in _written if p not in kept])
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

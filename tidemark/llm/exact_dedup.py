@@ -1,11 +1,15 @@
 """Exact deduplication by exchange of Golomb-coded fingerprints.
 
-1. Every row gets a 64-bit fingerprint and the SHA-256 of its normalised text; rows are dealt to
-   blocks of at most 2**20 rows of one input partition.
+1. Every row gets a 64-bit fingerprint and the SHA-256 of its normalised text. Rows are dealt to blocks of at
+   most BLOCK_ROWS rows: a few neighbouring input partitions, or a part of one.
 2. A block sends each owner (a range of the fingerprint space) its sorted distinct fingerprints as
    Golomb-Rice codes of their gaps. A text that fills a third of the corpus is sent once a block.
-3. An owner answers each block with a bitmap of the fingerprints that occur more than once.
-4. Only the suspects' texts are read again and grouped by their bytes (with map-side combining).
+3. An owner answers each block with a bitmap of the fingerprints that occur more than once: the suspects.
+4. A filter of the suspects (common.membership(): bounded) goes back to where the texts are scanned. Only texts
+   that pass it are shuffled, and grouped by their bytes with map-side combining. A text that passes by chance
+   is alone in its group, so the filter's size decides the cost only.
+
+Blocks and owners hold about 4 million fingerprints each, so 5e10 rows exchange 1.4e8 messages of 350 codes.
 
 Whitespace runs ([\\x20\\x09-\\x0D]+) count as one space, null as the empty text.
 """
@@ -19,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, staged
+from .common import arrow_schema, fresh, membership, staged
 
-BLOCK_BITS = 20
-OWNER_ROWS = 1 << 20
+#: Rows of a block and of an owner: some 200 MB of a task's memory.
+BLOCK_ROWS = 1 << 22
 CODED = "block long, owner long, n long, k int, quotients binary, remainders binary, repeated binary"
 VERDICT = "block long, owner long, n long, bitmap binary"
 
@@ -57,25 +61,38 @@ def rice_decode(n: int, k: int, quotients: bytes, remainders: bytes) -> np.ndarr
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, sha, block), staged so that every later step sees the same blocks."""
+    """(doc_id, fp, sha, place), staged so that every later step sees the same places."""
     norm = normalised(text)
     return staged(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             F.xxhash64(norm).alias("fp"),
             F.unhex(F.sha2(norm, 256)).alias("sha"),
-            F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"),
+            F.monotonically_increasing_id().alias("place"),
         ),
         "fingerprints",
     )
 
 
-def suspects(fps: DataFrame) -> DataFrame:
-    """Rows of (doc_id, fp, block) whose fingerprint occurs more than once: the column doc_id."""
-    bits = max(0, math.ceil(math.log2(max(1, fps.count()) / OWNER_ROWS)))
+def blocks(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """(fp, block) of (fp, place), and the number of rows. A block is a run of places in each of a few partitions."""
+    partition = F.shiftright("place", 33)
+    n, parts = fps.agg(F.count("*"), F.coalesce(F.max(partition) + 1, F.lit(1))).first()
+    together = 1 << max(0, math.floor(math.log2(max(1, block_rows * parts / max(1, n)))))
+    together = min(together, block_rows)
+    run = block_rows // together  # places of one partition in a block
+    at = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    block = F.floor(partition / together).cast("long") * (1 << 33) + F.floor(at / run).cast("long")
+    return fps.select("fp", block.alias("block")), n
+
+
+def suspects(fps: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The fingerprints (fp) that occur more than once in (fp, place), each once a block that has it."""
+    small, n = blocks(fps, block_rows)
+    bits = max(0, math.ceil(math.log2(max(1, n) / block_rows)))
     shift = np.uint64(64 - bits)
     coded_schema, verdict_schema = (arrow_schema(fps.sparkSession, s) for s in (CODED, VERDICT))
-    suspect_schema = arrow_schema(fps.sparkSession, "doc_id long")
+    suspect_schema = arrow_schema(fps.sparkSession, "fp long")
 
     def hashes(t: pa.Table) -> np.ndarray:
         return t.column("fp").to_numpy().astype(np.int64).view(np.uint64)
@@ -102,20 +119,17 @@ def suspects(fps: DataFrame) -> DataFrame:
         return pa.table(dict(zip(verdict_schema.names, zip(*out))), schema=verdict_schema)
 
     def flagged(own: pa.Table, verdicts: pa.Table) -> pa.Table:
-        h = hashes(own)
-        values = np.unique(h)
+        values = np.unique(hashes(own))
         rows = sorted(verdicts.to_pylist(), key=lambda r: r["owner"])
         marks = np.concatenate([np.unpackbits(np.frombuffer(r["bitmap"], np.uint8), count=r["n"]) for r in rows])
-        keep = marks.astype(bool)[np.searchsorted(values, h)]
-        return own.select(["doc_id"]).filter(pa.array(keep)).cast(suspect_schema)
+        return pa.table({"fp": values[marks.astype(bool)].view(np.int64)}, schema=suspect_schema)
 
-    small = fps.select("doc_id", "fp", "block")
-    coded = small.select("fp", "block").groupBy("block").applyInArrow(encode, CODED)
+    coded = small.groupBy("block").applyInArrow(encode, CODED)
     verdicts = coded.groupBy("owner").applyInArrow(answer, VERDICT)
-    return small.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(flagged, "doc_id long")
+    return small.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(flagged, "fp long")
 
 
-def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Ties: keep_id is the smallest doc_id of the equal texts. Rows that repeat both doc_id and text
@@ -125,16 +139,18 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     fps = fingerprints(docs, "text", "doc_id")
-    twice = suspects(fps).distinct().withColumnRenamed("doc_id", "suspect")
+    suspect = membership(staged(suspects(fps, block_rows).distinct(), "suspects"))
     same = (
-        docs.join(twice.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("suspect")), "left_semi")
-        .select("doc_id", normalised("text").alias("norm"))
+        docs.select("doc_id", normalised("text").alias("norm"))
+        .where(suspect(F.xxhash64("norm")))
         .groupBy("norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
         .select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     )
-    return fps.join(same, "sha", "left").select(
+    alone = fps.where(~suspect(F.col("fp"))).select("doc_id", "sha", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    rows = alone.unionByName(fps.where(suspect(F.col("fp"))).select("doc_id", "sha").join(same, "sha", "left"))
+    return rows.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -146,8 +162,13 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one of each set of equal texts: the rows that exact_duplicates() keeps, all columns.
 
-    Rows that repeat both doc_id and text all stay, as they share an identity.
+    Rows that repeat both doc_id and text all stay, as they share an identity. Only rows that a filter of those
+    that go lets pass are shuffled, for an exact anti-join by id and SHA-256; the others are kept as they are read.
     """
-    gone = exact_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.sha2(normalised("text"), 256) == F.col("_gone_sha"))
-    return docs.join(gone, same, "left_anti")
+    gone_id, gone_sha = fresh(docs, "gone_id", "gone_sha")
+    gone = exact_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(gone_id), F.unhex("text_sha256").alias(gone_sha))
+    gone = staged(gone.distinct(), "gone")
+    sha, own_id = F.unhex(F.sha2(normalised("text"), 256)), F.col("doc_id").cast("long")
+    may_go = membership(gone.select(F.xxhash64(gone_id, gone_sha).alias("key")))(F.xxhash64(own_id, sha))
+    left = docs.where(may_go).join(gone, own_id.eqNullSafe(F.col(gone_id)) & (sha == F.col(gone_sha)), "left_anti")
+    return docs.where(~may_go).union(left)
