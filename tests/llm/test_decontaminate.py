@@ -83,8 +83,20 @@ def test_null_and_repeated_ids_in_several_shards(spark):
     def hits(shard_words):
         return sorted(repr(r) for r in benchmark_hits(docs, bench, shard_words=shard_words).collect())
 
+    extra = docs.selectExpr("*", "1 AS _row", "2 AS ROW", "3 AS spans", "4 AS _spans", "5 AS _hit_id", "6 AS items")
+
     def left(shard_words):
-        return sorted(repr(r) for r in decontaminated(docs, bench, shard_words=shard_words).collect())
+        out = decontaminated(extra, bench, shard_words=shard_words)
+        assert out.columns == extra.columns
+        return sorted(repr(r) for r in out.collect())
 
     assert len(hits(8)) == len(rows) and hits(8) == hits(500_000)
     assert len(left(8)) == 5 and left(8) == left(500_000)
+
+
+def test_any_number_of_shards_gives_the_same_rows(spark):
+    texts, items = case()
+    docs = docs_frame(spark, texts + texts[:30], first=0).unionByName(docs_frame(spark, texts[20:50]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ([sorted(repr(r) for r in f(docs, bench, shard_words=k).collect()) for f in (benchmark_hits, decontaminated)] for k in (500_000, 250))
+    assert one == many and len(one[0]) == docs.count()

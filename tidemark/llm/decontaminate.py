@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, chunks, raw_bytes, staged
+from .common import by_batch, chunks, fresh, raw_bytes, staged
 
 WINDOW = 10
-#: Bound of an automaton: about 300 bytes a word, so 150 MB at most are broadcast at once.
+#: Bound of an automaton: 40 to 110 MB in each Python worker, depending on the vocabulary.
 SHARD_WORDS = 500_000
 
+HITS = "_row long, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>, longest int"
+
 # One pass: lower-case A-Z and turn every ASCII byte that is not a digit or letter into a space.
 _WORDS = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
 
@@ -35,16 +38,21 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items of every window."""
+    """Suffix automaton of several word sequences, with the items of every window.
+
+    It is built with a table of steps a state; what is sent on are flat arrays: a state's first step (most have
+    no other), the steps of the root by word, and one table for the further steps of states that branch.
+    """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW, shortest: int | None = None):
+        """shortest: words of the shortest item, if there are others than these."""
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
         self.step: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length = array("i", [-1]), array("i", [0])
         ends: dict[int, set[str]] = {}
         whole: dict[int, list[tuple[int, str]]] = {}
-        self.shortest = window
+        self.shortest = min(window, shortest or window)
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
             state = 0
@@ -66,15 +74,38 @@ class Automaton:
                 ends.setdefault(self.link[s], set()).update(ends[s])
             elif s in ends and self.link[s] and self.length[s] < window:
                 ends.pop(s)
-        # the state of the last `window` words, and whole short items on the way to the root
-        self.at: list[int] = [0] * len(self.link)
+        # the items of the last `window` words, and whole short items on the way to the root
+        self.sets: list[frozenset[str]] = [frozenset()]
+        numbers: dict[frozenset[str], int] = {self.sets[0]: 0}
+        self.items = array("i", bytes(4 * len(self.link)))
         self.short: dict[int, list[tuple[int, str]]] = {}
         for s in order:
             up = self.link[s]
-            self.at[s] = self.at[up] if self.length[up] >= window else s if self.length[s] >= window else 0
+            if self.length[up] >= window:
+                self.items[s] = self.items[up]
+            elif self.length[s] >= window:
+                own = frozenset(ends.get(s, ()))
+                self.items[s] = numbers.setdefault(own, len(self.sets))
+                if self.items[s] == len(self.sets):
+                    self.sets.append(own)
             if found := whole.get(s, []) + self.short.get(up, []):
                 self.short[s] = found
-        self.items = {s: frozenset(ends[s]) for s in set(self.at) if s in ends}
+        self._flatten()
+
+    def _flatten(self) -> None:
+        n = len(self.link)
+        self.root = array("i", bytes(4 * len(self.vocabulary)))
+        for x, t in self.step[0].items():
+            self.root[x] = t
+        self.first_word, self.first_next = array("i", [-1]) * n, array("i", bytes(4 * n))
+        self.further: dict[int, int] = {}
+        for s in range(1, n):
+            for k, (x, t) in enumerate(self.step[s].items()):
+                if k:
+                    self.further[s << 32 | x] = t
+                else:
+                    self.first_word[s], self.first_next[s] = x, t
+        del self.step
 
     def _extend(self, last: int, x: int) -> int:
         step, link, length = self.step, self.link, self.length
@@ -117,24 +148,33 @@ class Automaton:
         spans: list[tuple[int, int]] = []
         found: set[str] = set()
         longest = 0
-        step, link, length, window = self.step, self.link, self.length, self.window
+        link, length, window = self.link, self.length, self.window
+        root, first_word, first_next, further = self.root, self.first_word, self.first_next, self.further
         for start, stop in zip(starts[long].tolist(), stops[long].tolist()):
             s = n = 0
             for i, x in enumerate(known[start:stop].tolist(), start):
-                while x not in step[s]:  # every known word leaves the root
+                while True:
+                    if not s:  # every known word leaves the root
+                        s = root[x]
+                        break
+                    if first_word[s] == x:
+                        s = first_next[s]
+                        break
+                    if t := further.get(s << 32 | x):
+                        s = t
+                        break
                     s = link[s]
                     n = length[s]
-                s = step[s][x]
                 n += 1
                 longest = max(longest, n)
                 if n >= window:
-                    found |= self.items[self.at[s]]
+                    found |= self.sets[self.items[s]]
                     _mark(spans, i - window + 1, i + 1)
                 for size, item in self.short.get(s, ()):
                     if size <= n:
                         found.add(item)
                         _mark(spans, i - size + 1, i + 1)
-        return spans, found, longest
+        return spans, found, longest if longest >= self.shortest else 0
 
 
 def _mark(spans: list[tuple[int, int]], start: int, stop: int) -> None:
@@ -151,15 +191,19 @@ def _shards(benchmark: DataFrame, shard_words: int, window: int) -> Iterator[Aut
     # a word and what ends it take two bytes at least
     most = items.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0] / 2
     shards = max(1, math.ceil(most / shard_words))
+    shortest = None
+    if shards > 1:
+        n_words = by_batch(items.select("text"), "n long", lambda batch: {"n": [len(words_of(t)) for t in raw_bytes(batch.column("text"))]})
+        shortest = n_words.where("n > 0").agg(F.min("n")).first()[0]
     for k in range(shards):
         own = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
-        yield Automaton([(r.item_id, words_of(r.text.encode())) for r in own.toLocalIterator()], window)
+        yield Automaton([(r.item_id, words_of(r.text.encode())) for r in own.toLocalIterator()], window, shortest)
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(doc_id, n_words, n_hit, items array, spans array<struct<start,stop>>, longest) per row of docs.
 
-    Spans are half-open word positions. Null texts have no words; items with null text or id never hit.
+    Spans are half-open word positions; longest is the longest match of at least a window or a whole item, else 0. Null texts have no words; items with null text or id never hit.
     Rows that repeat a doc_id, or have none, keep a row each. Other columns are not read. Empty tables give
     no rows or no hits. For several shards the documents are staged once with a row number, by which the
     shards' hits are merged.
@@ -169,17 +213,16 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if len(ahead) == 1:
         return _hits(narrow, ahead[0]).drop("_row")
-    return _merged(_numbered(narrow), itertools.chain(ahead, shards)).drop("_row")
+    return _merged(_numbered(narrow, "_row"), itertools.chain(ahead, shards)).drop("_row")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs, staged, with a number _row of each row."""
-    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame, row: str) -> DataFrame:
+    """docs, staged, with a number of each row."""
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
 
 
 def _hits(narrow: DataFrame, automaton: Automaton) -> DataFrame:
     """The hits of one shard per row of (doc_id, text), with _row if there is one."""
-    schema = "_row long, doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>, longest int"
     if "_row" not in narrow.columns:
         narrow = narrow.withColumn("_row", F.lit(None).cast("long"))
     shared = narrow.sparkSession.sparkContext.broadcast(automaton)
@@ -193,7 +236,7 @@ def _hits(narrow: DataFrame, automaton: Automaton) -> DataFrame:
         names = ("n_words", "n_hit", "items", "spans", "longest")
         return {c: batch.column(c) for c in ("_row", "doc_id")} | dict(zip(names, zip(*rows) if rows else [[]] * 5))
 
-    return by_batch(narrow, schema, each)
+    return by_batch(narrow, HITS, each)
 
 
 def _merged(numbered: DataFrame, shards: Iterable[Automaton]) -> DataFrame:
@@ -204,28 +247,29 @@ def _merged(numbered: DataFrame, shards: Iterable[Automaton]) -> DataFrame:
         # a shard without hits may still have the longest match
         part = staged(part if merged is None else part.where("longest > 0"), "hits")
         merged = part if merged is None else merged.unionByName(part)
-    merge = F.udf(_union, "array<struct<start:int,stop:int>>")
-    return (
-        merged.groupBy("_row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            merge(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.max("longest").alias("longest"),
-        )
-        .withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)"))
-        .select("_row", "doc_id", "n_words", "n_hit", "items", "spans", "longest")
+    lists = merged.groupBy("_row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.flatten(F.collect_list("spans")).alias("spans"),
+        F.max("longest").alias("longest"),
     )
 
+    def each(batch: pa.RecordBatch) -> dict:
+        spans = [_union([(x["start"], x["stop"]) for x in row]) for row in batch.column("spans").to_pylist()]
+        out = {c: batch.column(c) for c in ("_row", "doc_id", "n_words", "items", "longest")}
+        return out | {"n_hit": [sum(b - a for a, b in own) for own in spans], "spans": [[{"start": a, "stop": b} for a, b in own] for own in spans]}
+
+    return by_batch(lists, HITS, each)
+
 
-def _union(spans: list) -> list[tuple[int, int]]:
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for s in sorted(tuple(x) for x in spans or ()):
-        if out and s[0] <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], s[1]))
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            out.append(s)
+            out.append((a, b))
     return out
 
 
@@ -259,13 +303,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = WINDO
             return [shared.value.search(words_of(t))[0] for t in texts]
 
     else:
-        numbered = _numbered(docs)
-        narrow = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        hits = _merged(narrow, itertools.chain(ahead, shards)).select("_row", F.col("spans").alias("_spans"))
-        known, plan = numbered.join(hits, "_row").select(*names, "_spans"), docs.schema
+        row, own_spans = fresh(docs, "row", "spans")
+        numbered = _numbered(docs, row)
+        narrow = numbered.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        hits = _merged(narrow, itertools.chain(ahead, shards)).select(F.col("_row").alias(row), F.col("spans").alias(own_spans))
+        known, plan = numbered.join(hits, row).select(*names, own_spans), docs.schema
 
         def spans_of(batch: pa.RecordBatch, texts: list[bytes | None]) -> list[list[tuple[int, int]]]:
-            return [[(x["start"], x["stop"]) for x in row or ()] for row in batch.column("_spans").to_pylist()]
+            return [[(x["start"], x["stop"]) for x in row or ()] for row in batch.column(own_spans).to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (c for b in batches for c in chunks(b)):
