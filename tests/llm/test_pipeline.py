@@ -3,8 +3,7 @@ import re
 from .helpers import AWKWARD, DOCS, docs_frame
 from .test_decontaminate import brute as leaks
 from .test_decontaminate import words
-from .test_simhash import brute as groups
-from .test_simhash import slow_fingerprint
+from .test_near import brute as groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,8 +16,8 @@ def brute(docs, items, keep):
         if i in keep and n not in seen:
             seen.add(n)
             left.append((i, t))
-    label = groups({i: slow_fingerprint(t) for i, t in left})
-    left = [(i, t) for i, t in left if label[i] == i]
+    label = groups([t for _, t in left])
+    left = [left[k] for k in sorted(set(label))]
     out = {}
     for (i, t), hit in zip(left, sorted(leaks([t for _, t in left], items))):
         if hit[2] <= 0.5 * hit[1] or not hit[2]:
