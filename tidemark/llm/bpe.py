@@ -32,7 +32,7 @@ BATCH = 1 << 20
 #: Pieces of more bytes are encoded one by one, in time linear in their length.
 LONG = 512
 #: Answers on pairs of tokens that a worker keeps for long pieces.
-PAIRS = 1_000_000
+PAIRS = 100_000
 
 # The published pre-tokenizer pattern, with its white space spelled out.
 _SPACE = r"\t-\r \x85\xa0  -     　"
