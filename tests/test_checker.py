@@ -85,4 +85,44 @@ def test_reports(spark):
     assert checker.phantom_reads(df).count() == 1
     assert [r.line for r in checker.witness(df, "x").orderBy("call").collect()] == ["client 0 [0, inf] put <1>", "client 1 [1, 2] get -> (absent)", "client 1 [3, 4] get -> zz"]
     html = checker.timeline_html(df, "a <b>", False)
-    assert "a &lt;b&gt;" in html and "NOT linearizable" in html and html.count("<rect") == 3
+    assert "a &lt;b&gt;" in html and "NOT linearizable" in html and html.count("<hr") == 3 and "The first" not in html
+    assert "The first 2 of 3" in checker.timeline_html(df, "t", True, 2)
+
+
+def brute_force(ops):
+    """Whether any order of a register's operations, those that never returned taken or left, explains them."""
+    from itertools import permutations
+
+    done = [o for o in ops if o[6] is not None]
+    open_ = [o for o in ops if o[6] is None and o[2] != "get"]
+    for take in range(1 << len(open_)):
+        for order in permutations(done + [o for i, o in enumerate(open_) if take >> i & 1]):
+            if any(b[6] is not None and b[6] < a[5] for i, a in enumerate(order) for b in order[i + 1 :]):
+                continue
+            value, good = None, True
+            for _, _, kind, arg, found, _, _ in order:
+                if kind == "get":
+                    good &= value == arg if found else value is None
+                else:
+                    value = arg if kind == "put" else None
+            if good:
+                return True
+    return False
+
+
+def test_against_all_orders(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for key in range(150):
+        own = []
+        for i in range(rng.randrange(1, 6)):
+            a = rng.randrange(12)
+            b = None if rng.random() < 0.2 else a + rng.randrange(8)
+            kind = rng.choice(["put", "put", "get", "get", "delete"])
+            value = rng.choice("123") if kind == "put" else rng.choice(["1", "2", None]) if kind == "get" else None
+            own.append((str(key), i, kind, value, kind == "get" and value is not None, a, b))
+        rows += own
+        want[str(key)] = "ok" if brute_force(own) else "violation"
+    got = {r.key: r.verdict for r in checker.check(spark.createDataFrame(rows, H)).collect()}
+    left = {k: v for k, v in want.items() if k in got}
+    assert got == left and set(want) - set(got) <= {k for k in want if all(r[2] == "get" and r[6] is None for r in rows if r[0] == k)}
+    assert set(want.values()) == {"ok", "violation"}

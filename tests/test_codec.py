@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import bloom, codec
+from tidemark.model import BadLog
 
 
 def test_checksum_and_records(spark):
@@ -44,3 +45,37 @@ def test_bloom(spark, bits, low, high):
     other = spark.range(4000).select(F.concat(F.lit("other"), F.col("id").cast("string")).alias("key"))
     rate = bloom.may_contain(other, words, m, k).where("maybe").count() / 4000
     assert low <= rate <= high
+
+
+def test_configurations(spark):
+    df = spark.createDataFrame([(0, [3, -1, 3, 7]), (1, []), (2, [2**40])], "i int, m array<bigint>").select("i", codec.configuration(F.col("m")).alias("raw"))
+    raw = {r.i: bytes(r.raw) for r in df.collect()}
+    pack = lambda *ids: len(ids).to_bytes(4, "little") + b"".join(i.to_bytes(8, "little", signed=True) for i in ids)
+    assert raw == {0: pack(-1, 3, 7), 1: pack(), 2: pack(2**40)}
+    cut = spark.createDataFrame([(0, raw[0]), (1, raw[0][:-1]), (2, raw[0][:3]), (3, b""), (4, raw[1])], "i int, raw binary")
+    assert {r.i: r.m for r in cut.select("i", codec.configuration_members(F.col("raw")).alias("m")).collect()} == {0: [-1, 3, 7], 1: [-1, 3], 2: [], 3: [], 4: []}
+
+
+def test_log_files():
+    frame = lambda term, kind, data: term.to_bytes(8, "little") + bytes([kind]) + len(data).to_bytes(4, "little") + data
+    head = codec.LOG_MAGIC.to_bytes(8, "little") + (9).to_bytes(8, "little") + (2).to_bytes(8, "little")
+    whole = head + frame(3, 0, b"abc") + frame(4, 1, b"")
+    assert codec.log_entries(whole) == (9, 2, [(3, 0, b"abc"), (4, 1, b"")])
+    assert codec.log_entries(whole[:-1]) == (9, 2, [(3, 0, b"abc")]) and codec.log_entries(head[:20]) == (0, 0, []) and codec.log_entries(b"xy") == (0, 0, [])
+    with pytest.raises(BadLog):
+        codec.log_entries(b"12345678")
+
+
+def test_bloom_bytes(spark):
+    keys = spark.range(300).select((F.col("id") % 3).alias("filter"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    m, k = bloom.size(100, 10)
+    filters = bloom.packed(keys, m, k).cache()
+    assert {(r.k, r.m, r.valid) for r in bloom.loaded(filters).collect()} == {(7, 1000, True)}
+    for r in filters.collect():
+        words = bloom.packed_words(filters).where(F.col("filter") == r.filter).select("word", "bits")
+        own = keys.where(F.col("filter") == r.filter).select("key")
+        assert bloom.may_contain(own, words, m, k).where("NOT maybe").count() == 0
+        # bit i is bit i mod 8 of byte i div 8
+        assert sum(bin(b).count("1") for b in bytes(r.data)[1:]) == words.select(F.sum(F.expr("bit_count(bits)"))).first()[0]
+    odd = spark.createDataFrame([(0, b""), (1, b"\x00a"), (2, b"\x1f"), (3, b"\x1eab")], "filter bigint, data binary")
+    assert {r.filter: r.valid for r in bloom.loaded(odd).collect()} == {0: False, 1: False, 2: False, 3: True}

@@ -59,3 +59,43 @@ def test_restart_and_prev(spark):
     assert {(r.node, r.term, r.voted_for) for r in R.restart_state(states, log).collect()} == {(0, 5, 2), (1, 4, -1), (2, 3, 1)}
     asked = spark.createDataFrame([(0, 1, 4), (0, 1, 3), (0, 2, 4), (1, 0, 0)], "node int, prev_idx bigint, prev_term bigint")
     assert sorted((r.node, r.prev_idx, r.prev_term, r.ok) for r in R.matches_prev(asked, log).collect()) == [(0, 1, 3, False), (0, 1, 4, True), (0, 2, 4, False), (1, 0, 0, True)]
+
+
+def test_vote_cases(spark):
+    schema = "seq bigint, voter int, candidate int, term bigint, eligible boolean, in_contact boolean, transfer boolean, start_term bigint, start_vote int"
+    rows = [
+        (1, 0, 7, 5, True, True, False, 3, 9),  # ignored: the voter has a leader, so term 5 is not adopted
+        (2, 0, 8, 3, True, False, False, 3, 9),  # it voted for 9 in term 3 before
+        (3, 0, 9, 3, True, False, False, 3, 9),
+        (4, 0, 7, 4, False, False, False, 3, 9),  # an old log: the term is adopted, the vote is not given
+        (5, 0, 8, 3, True, False, False, 3, 9),  # a stale term
+        (6, 0, 8, 4, True, True, True, 3, 9),  # a transfer is heard in spite of a leader
+        (7, 0, 7, 4, True, False, False, 3, 9),
+        (8, 0, 8, 4, True, False, False, 3, 9),
+    ]
+    got = {r.seq: (r.granted, r.reply_term) for r in R.votes(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (False, 3), 2: (False, 3), 3: (True, 3), 4: (False, 4), 5: (False, 4), 6: (True, 4), 7: (False, 4), 8: (True, 4)}
+
+
+def test_messages(spark):
+    states = spark.createDataFrame([(1, 5, 0, 0, 0), (2, 2, 1, 0, 0), (3, 2, 1, 2, 1), (4, 2, 0, 0, 0)], "node int, term bigint, commit_idx bigint, base_idx bigint, base_term bigint")
+    logs = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (2, 2, 1), (2, 3, 1), (3, 3, 1), (4, 1, 1)], LOG)
+    requests = spark.createDataFrame([(1, 3, 1, 1, 9), (2, 3, 1, 1, 2), (3, 3, 1, 1, 99), (4, 3, 3, 2, 9)], "node int, term bigint, prev_idx bigint, prev_term bigint, leader_commit bigint")
+    entries = spark.createDataFrame([(1, 2, 3), (2, 2, 3), (3, 2, 1), (3, 3, 1), (3, 4, 3), (4, 4, 3)], LOG)
+    answers, after = R.append_entries(states, logs, requests, entries)
+    assert {r.node: tuple(r)[1:] for r in answers.collect()} == {1: (False, 5, None, None, 0), 2: (True, 3, 2, None, 2), 3: (True, 3, 4, None, 4), 4: (False, 3, None, 2, 0)}
+    assert sorted((r.node, r.idx, r.term) for r in after.collect()) == [(1, 1, 1), (2, 1, 1), (2, 2, 3), (3, 3, 1), (3, 4, 3), (4, 1, 1)]
+
+
+def test_snapshot_offers(spark):
+    offers = spark.createDataFrame([(1, 2, 5, 3, 9, 2), (2, 4, 5, 3, 9, 2), (3, 2, 9, 3, 9, 2)], "node int, own_term bigint, own_applied bigint, leader_term bigint, snap_idx bigint, snap_term bigint")
+    logs = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 1), (3, 2, 1)], LOG)
+    got = {r.node: tuple(r)[1:] for r in R.installed_snapshot(logs, offers).collect()}
+    assert got == {1: (3, 9, 2, 9, True, 0), 2: (4, 0, 0, 5, False, 1), 3: (3, 0, 0, 9, True, 2)}
+
+
+def test_barriers(spark):
+    asked = spark.createDataFrame([(5, 1, 2), (9, 1, 2), (1, 3, 7)], "seq bigint, node int, term bigint")
+    acks = spark.createDataFrame([(6, 2, 2), (7, 1, 2), (10, 3, 2), (4, 4, 2)], "seq bigint, node int, term bigint")
+    got = {r.seq: (r.n_acks, r.outcome) for r in R.read_barriers(asked, acks, 5).collect()}
+    assert got == {5: (3, "served"), 9: (2, "not leader"), 1: (1, "not leader")}

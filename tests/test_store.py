@@ -50,12 +50,14 @@ def test_merge_prefers_newer_layers(spark):
     assert {(r.key, r.ts): r.value for r in snapshot.merged(new, old).collect()} == {("k", 1): "new", ("a", 2): "a"}
 
 
+# Own values for the cases of version collection.
 @pytest.mark.parametrize("rows, low, bottom, kept", [
-    ([("k", 10, None), ("k", 5, "v")], 100, False, 2),
-    ([("k", 10, None), ("k", 5, "v")], 100, True, 0),
-    ([("k", 10, "new"), ("k", 5, "old")], 100, False, 2),
-    ([("k", 10, "new"), ("k", 5, "old")], 100, True, 1),
-    ([("k", 10, None), ("k", 5, "v")], 7, True, 2),
+    ([("a", 31, None), ("a", 12, "x")], 50, False, 2),
+    ([("a", 31, None), ("a", 12, "x")], 50, True, 0),
+    ([("a", 31, "y"), ("a", 12, "x")], 50, False, 2),
+    ([("a", 31, "y"), ("a", 12, "x")], 50, True, 1),
+    ([("a", 31, None), ("a", 12, "x")], 20, True, 2),
+    ([("a", 31, None), ("a", 12, "x"), ("a", 4, None)], 12, True, 2),
 ])
 def test_collection(spark, rows, low, bottom, kept):
     assert compaction.collected(versions(spark, *rows), low, bottom).count() == kept
@@ -140,8 +142,69 @@ def test_segments(spark, tmp_path):
     assert store.read().where("key = 'own2'").count() == 0
     store.replace(versions(spark, ("z", 9, "only")), 9)
     assert live(snapshot.scan(store.read())) == {"z": "only"}
+    assert store.sessions().count() == 0 and store.members() is None
+    store.replace(versions(spark, ("z", 9, "only")), 10, spark.createDataFrame([(4, 17)], "session bigint, last_seq bigint"), [0, 2, 5])
+    for i in range(3):
+        store.flush(versions(spark, (f"more{i}", 10 + i, "v")), 11 + i)
+    assert store.compact(20) and len(store.manifest()) == 1
+    assert [tuple(r) for r in store.sessions().collect()] == [(4, 17)] and store.members() == [0, 2, 5]
 
 
 def test_order_check(spark):
     rows = spark.createDataFrame([(0, "a", 2), (1, "a", 1), (2, "a", 1), (3, "b", 5), (4, "ab", 9)], "pos bigint, key string, ts bigint")
     assert {(r.pos, r.problem) for r in compaction.order_violations(rows).collect()} == {(2, "duplicate"), (4, "out of order")}
+
+
+def fold(txns, writes):
+    """Transactions (txn, ts, read_snap) one after the other."""
+    newest, out = {}, {}
+    for txn, ts, snap in sorted(txns, key=lambda t: t[1]):
+        out[txn] = all(newest.get(k, -1) <= snap for k in writes[txn])
+        if out[txn]:
+            newest |= dict.fromkeys(writes[txn], ts)
+    return out
+
+
+def test_first_committer_wins_over_several_keys(spark):
+    rng = random.Random(3)
+    txns = [(i, i + 1, max(0, i - rng.randrange(25))) for i in range(250)]
+    writes = {i: rng.sample(range(12), rng.randrange(1, 4)) for i, _, _ in txns}
+    rows = [(t, k) for t, own in writes.items() for k in own]
+    got = transactions.first_committer_wins_all(spark.createDataFrame(txns, "txn bigint, ts bigint, read_snap bigint"), spark.createDataFrame(rows, "txn bigint, key bigint"))
+    assert {r.txn: r.committed for r in got.collect()} == fold(txns, writes)
+
+
+def test_transactions_of_a_batch_conflict_with_each_other(spark):
+    log = versions(spark, ("z", 4, "old"))
+    txns = spark.createDataFrame([(1, 4, 1), (2, 4, 2), (3, 4, 3), (4, 2, 4), (5, 4, 5)], "txn bigint, read_snap bigint, commit_order bigint")
+    writes = [(1, "a", 1, "1"), (2, "a", 1, "2"), (2, "b", 1, "2"), (3, "b", 1, "3"), (3, "c", 2, None), (4, "z", 1, "4")]
+    rows = transactions.commit(txns, spark.createDataFrame(writes, "txn bigint, key string, op int, value string"), log).collect()
+    # 2 loses key a to 1, so 3 wins key b; 4 read before z's newest version; 5 writes nothing
+    assert {(r.ts, r.op, r.key, r.value) for r in rows} == {(5, 1, "a", "1"), (5, 3, None, None), (6, 1, "b", "3"), (6, 2, "c", None), (6, 3, None, None)}
+
+
+def test_refused_entries_touch_nothing(spark):
+    schema = "idx bigint, session bigint, seq bigint, n_ops bigint, ends_in_commit boolean, n_ts int, n_bad_ops int"
+    rows = [(1, 7, 10, 0, True, 1, 0), (2, 7, 10, 2, True, 1, 0), (3, 7, 10, 2, True, 1, 0), (4, None, None, 1, True, 1, 0), (5, 7, 12, 2, False, 1, 0), (6, 7, 11, 2, True, 1, 0), (7, 8, 1, 2, True, 2, 0)]
+    got = transactions.apply_entries(spark.createDataFrame(rows, schema))
+    assert {r.idx: r.reason for r in got.collect()} == {1: "empty", 2: "ok", 3: "duplicate", 4: "ok", 5: "no commit", 6: "ok", 7: "two timestamps"}
+    assert transactions.applied_through(got).first()[0] == 6
+
+
+def test_prepare(spark):
+    log = versions(spark, ("a", 3, "x"), ("b", 9, "y"))
+    txns = spark.createDataFrame([(1, 9, 1, 5, 4), (2, 3, 2, None, None), (3, 9, 3, 5, 5), (4, 9, 4, None, None), (5, 9, 5, None, None)], "txn bigint, read_snap bigint, commit_order bigint, session bigint, seq bigint")
+    writes = spark.createDataFrame([(1, "a", 1, "v"), (2, "b", 1, "v"), (3, "a", 1, "v"), (5, "a", 1, "w")], "txn bigint, key string, op int, value string")
+    got = transactions.prepared(txns, writes, log, spark.createDataFrame([(5, 4)], "session bigint, last_seq bigint"))
+    assert {r.txn: (r.status, r.ts) for r in got.collect()} == {1: ("duplicate", None), 2: ("conflict", None), 3: ("prepared", 10), 4: ("empty", None), 5: ("prepared", 11)}
+    records = {(r.txn, r.op, r.key, r.session, r.seq) for r in transactions.entry_records(got, writes, txns).collect()}
+    assert records == {(3, 1, "a", None, None), (3, 3, None, 5, 5), (5, 1, "a", None, None), (5, 3, None, None, None)}
+    assert tuple(transactions.control_marker(log, 8).first()) == (8, 3, 10)
+
+
+def test_lifecycles(spark):
+    rows = [(1, 1, "put"), (2, 1, "begin"), (3, 1, "put"), (4, 2, "begin"), (5, 1, "commit"), (6, 1, "put"), (7, 1, "rollback"), (8, 3, "commit"), (9, 3, "begin")]
+    df = spark.createDataFrame(rows, "seq bigint, txn bigint, action string")
+    assert {r.seq: r.outcome for r in transactions.lifecycles(df).collect()} == {1: "unknown", 2: "ok", 3: "ok", 4: "ok", 5: "ok", 6: "finished", 7: "finished", 8: "unknown", 9: "ok"}
+    assert {(r.txn, r.begin_seq) for r in transactions.active(df, 9).collect()} == {(2, 4), (3, 9)}
+    assert {(r.txn, r.begin_seq) for r in transactions.active(df, 4).collect()} == {(1, 2), (2, 4)}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +56,39 @@ def false_positive_rate(n: int, m: int, k: int) -> float:
     return (1 - math.exp(-k * n / m)) ** k
 
 
+
+
+def packed(keys: DataFrame, m: int, k: int) -> DataFrame:
+    """(filter, data) of keys (filter, key): a filter's bytes are k, then its bits; bit i is bit i mod 8 of byte i div 8.
+
+    A filter's words meet in one task, as its bytes are one value: m / 8 of them, whatever the number of keys.
+    """
+    bit = keys.select("filter", F.explode(places(F.col("key"), m, k)).alias("bit")).distinct()
+    words = bit.groupBy("filter", F.floor(F.col("bit") / 64).cast("long").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+
+    def pack(key: tuple, t: pa.Table) -> pa.Table:
+        table = np.zeros(-(-m // 64), "<u8")
+        table[t.column("word").to_numpy()] = t.column("bits").to_numpy().view(np.uint64)
+        return pa.table({"filter": pa.array([key[0].as_py()], pa.int64()), "data": [bytes([k]) + table.tobytes()[: m // 8]]})
+
+    return words.groupBy("filter").applyInArrow(pack, "filter long, data binary")
+
+
+def loaded(filters: DataFrame) -> DataFrame:
+    """(filter, k, m, valid) of filters (filter, data): valid if there is a k from 1 to 30."""
+    k = F.when(F.octet_length("data") >= 1, F.conv(F.hex(F.substring("data", 1, 1)), 16, 10).cast("int"))
+    return filters.select("filter", k.alias("k"), (F.greatest(F.octet_length("data") - 1, F.lit(0)) * 8).cast("long").alias("m"), F.coalesce(k.between(1, 30), F.lit(False)).alias("valid"))
+
+
+def packed_words(filters: DataFrame) -> DataFrame:
+    """(filter, word, bits) of filters (filter, data), as built() makes them; empty words are left out."""
+
+    def run(batches):
+        for batch in batches:
+            for f, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                body = (raw or b"\0")[1:]
+                words = np.frombuffer(body + b"\0" * (-len(body) % 8), "<u8")
+                at = np.flatnonzero(words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f, np.int64)), pa.array(at), pa.array(words[at].view(np.int64))], names=["filter", "word", "bits"])
+
+    return filters.select(F.col("filter").cast("long"), "data").mapInArrow(run, "filter long, word long, bits long")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..model import COMMIT, DELETE, PUT
+from ..model import COMMIT, DELETE, NO_VOTE, PUT, BadLog
 
 HEADER = 21
 _CASTAGNOLI = 0x82F63B78
@@ -182,3 +182,93 @@ def checked(rows: list[tuple]) -> dict[str, list]:
         out.append((log, at, raw[4], int.from_bytes(raw[5:13], "little", signed=True), raw[HEADER:key], raw[key:], status))
         bad = status != "ok"
     return dict(zip(_RECORDS.names, map(list, zip(*out)))) if out else {n: [] for n in _RECORDS.names}
+
+
+def from_little_endian(data: Column, at: Column | int, width: int) -> Column:
+    """The integer of 1, 2, 4 or 8 little-endian bytes at an offset, as a long; 8 bytes are signed."""
+    at = F.lit(at) if isinstance(at, int) else at
+    pairs = F.hex(F.substring(data, at + 1, F.lit(width)))
+    turned = [F.substring(pairs, 2 * i + 1, 2) for i in range(width - 1, -1, -1)]
+    if width <= 4:
+        return F.conv(F.concat(*turned), 16, 10).cast("long")
+    # two halves, as conv() of a full unsigned value would not fit a signed long
+    high, low = (F.conv(F.concat(*part), 16, 10).cast("long") for part in (turned[: width - 4], turned[width - 4 :]))
+    return F.shiftleft(high, 32).bitwiseOR(low)
+
+
+def configuration(members: Column) -> Column:
+    """A voting configuration: count (4 bytes), then the sorted distinct ids (8 bytes each), little-endian."""
+    ids = F.array_sort(F.array_distinct(members))
+    each = F.array_join(F.transform(ids, lambda x: F.hex(little_endian(x, 8))), "")
+    return F.concat(little_endian(F.size(ids), 4), F.unhex(each))
+
+
+def configuration_members(data: Column) -> Column:
+    """The ids of a configuration; what is cut off is left out, and fewer than 4 bytes are no members."""
+    n = F.least(from_little_endian(data, 0, 4), F.floor((F.octet_length(data) - 4) / 8)).cast("int")
+    ids = F.transform(F.sequence(F.lit(0), n - 1), lambda i: from_little_endian(data, 4 + 8 * i, 8))
+    return F.when((F.octet_length(data) < 4) | (n < 1), F.array().cast("array<bigint>")).otherwise(F.array_sort(ids))
+
+
+def hard_state(term: Column, voted_for: Column) -> Column:
+    """A node's term and vote, 8 little-endian bytes each."""
+    return F.concat(little_endian(term, 8), little_endian(voted_for, 8))
+
+
+def read_hard_state(data: Column) -> Column:
+    """struct(term, voted_for, present); a missing or short file is term 0 without a vote."""
+    whole = F.coalesce(F.octet_length(data) >= 16, F.lit(False))
+    return F.struct(
+        F.when(whole, from_little_endian(data, 0, 8)).otherwise(F.lit(0)).cast("long").alias("term"),
+        F.when(whole, from_little_endian(data, 8, 8)).otherwise(F.lit(NO_VOTE)).cast("long").alias("voted_for"),
+        whole.alias("present"),
+    )
+
+
+# Fixed values of the replicated log's file: its magic number, bytes of the header and of a frame's header.
+LOG_MAGIC = 0x524146544C4F4722
+LOG_HEADER, FRAME_HEADER = 24, 13
+
+
+def log_frame(term: Column, kind: Column, data: Column) -> Column:
+    """One entry: term (8 bytes), kind (1), length (4), data."""
+    return F.concat(little_endian(term, 8), little_endian(kind, 1), little_endian(F.octet_length(data), 4), data)
+
+
+def log_header(base_idx: Column, base_term: Column) -> Column:
+    return F.concat(little_endian(F.lit(LOG_MAGIC), 8), little_endian(base_idx, 8), little_endian(base_term, 8))
+
+
+_ENTRIES = pa.schema([("log", pa.int64()), ("base_idx", pa.int64()), ("base_term", pa.int64()), ("idx", pa.int64()), ("term", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+
+
+def log_entries(raw: bytes) -> tuple[int, int, list[tuple[int, int, bytes]]]:
+    """(base_idx, base_term, entries (term, kind, data)) of a log file; a torn tail is left out."""
+    if len(raw) < 8:
+        return 0, 0, []  # not even the magic number: a header that was cut off
+    if int.from_bytes(raw[:8], "little") != LOG_MAGIC:
+        raise BadLog("a log file begins with another number")
+    if len(raw) < LOG_HEADER:
+        return 0, 0, []
+    entries, at = [], LOG_HEADER
+    while at + FRAME_HEADER <= len(raw):
+        end = at + FRAME_HEADER + int.from_bytes(raw[at + 9 : at + 13], "little")
+        if end > len(raw):
+            break
+        entries.append((int.from_bytes(raw[at : at + 8], "little"), raw[at + 8], raw[at + FRAME_HEADER : end]))
+        at = end
+    return int.from_bytes(raw[8:16], "little"), int.from_bytes(raw[16:24], "little"), entries
+
+
+def decoded_logs(files: DataFrame, data: str = "data") -> DataFrame:
+    """Rows (log, base_idx, base_term, idx, term, kind, data) of whole log files (log, data binary), one file a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for log, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                base, base_term, entries = log_entries(raw or b"")
+                rows = [(log, base, base_term, base + i, *e) for i, e in enumerate(entries, 1)]
+                if rows:
+                    yield pa.RecordBatch.from_pydict(dict(zip(_ENTRIES.names, map(list, zip(*rows)))), schema=_ENTRIES)
+
+    return files.select(F.col("log").cast("long"), F.col(data).cast("binary")).mapInArrow(run, "log long, base_idx long, base_term long, idx long, term long, kind int, data binary")

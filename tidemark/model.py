@@ -26,29 +26,9 @@ class KeyNotFound(StoreError):
     pass
 
 
-class Conflict(StoreError):
-    pass
-
-
-class TxnFinished(StoreError):
-    pass
-
-
-class CorruptLog(StoreError):
-    pass
-
-
 class InvalidOp(StoreError):
     pass
 
 
-class OutOfOrder(StoreError):
-    pass
-
-
-class DuplicateKey(StoreError):
-    pass
-
-
-class Frozen(StoreError):
-    pass
+class BadLog(StoreError):
+    """A replicated log file without its magic number."""

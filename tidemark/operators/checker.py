@@ -2,9 +2,12 @@
 
 history   key, client, kind (put, delete, get), value, found, call, ret (null or INFINITY: never returned)
 
-A key's operations stream through one task in order of their calls. Whenever no operation is open, what came
-before is decided: the set of values that the register may hold there is all that is carried on. So the
-search, exponential in the worst case, is over one stretch of overlapping operations at a time.
+Every operation is two events, its call and its return; a key's events stream through one task in order of time.
+What is carried on is the set of configurations that explain all returns so far: a register value, and which of
+the open operations have taken effect already. At a return, open operations take effect in every order until the
+returning one has; configurations that cannot get there go, and if none is left the history is no register's.
+So memory holds open operations and their configurations only, also where writes never return. The number of
+configurations is exponential in the operations that are open at once, in the worst case.
 """
 
 from __future__ import annotations
@@ -17,77 +20,74 @@ from pyspark.sql import functions as F
 from ..model import INFINITY
 from .folds import fold_sorted
 
-#: Search steps a stretch may take before its key's verdict is unknown.
-MAX_STEPS = 2_000_000
 
+def effect(kind: str, arg: object, found: bool, value: object) -> tuple[bool, object]:
+    """(legal, the value after it) of an operation on a register value; None is absent."""
+    if kind == "put":
+        return True, arg
+    if kind == "delete":
+        return True, None
+    return (value is not None and value == arg if found else value is None), value
 
-def outcomes(stretch: list[tuple], starts: set, max_steps: int = MAX_STEPS) -> set | None:
-    """Register values (None: absent) after all complete operations of a stretch (kind, value, found, call, ret),
-    for any of the start values; empty if no order explains it, None if the search is too long.
 
-    Depth-first over (operations done, value): an operation may be next if it was called before every other
-    open one returned. Operations that never returned may be left out.
-    """
-    ops = sorted(stretch, key=lambda o: o[3])
-    n = len(ops)
-    must = sum(1 << i for i, o in enumerate(ops) if o[4] < INFINITY)
-    seen: set[tuple[int, object]] = set()
-    stack = [(0, v) for v in starts]
-    ends, steps = set(), 0
+def returned(configurations: set, open_: dict, op: int, max_steps: int | None) -> set | None:
+    """The configurations (value, operations in effect) after the return of op; None if the search is too long."""
+    out, seen, stack, steps = set(), set(), list(configurations), 0
     while stack:
-        done, value = stack.pop()
-        if (done, value) in seen:
+        state = stack.pop()
+        if state in seen:
             continue
-        seen.add((done, value))
+        seen.add(state)
         steps += 1
-        if steps > max_steps:
+        if max_steps is not None and steps > max_steps:
             return None
-        if done & must == must:
-            ends.add(value)
-        first_return = min((ops[i][4] for i in range(n) if not done >> i & 1), default=INFINITY)
-        for i in range(n):
-            kind, arg, found, call, _ = ops[i]
-            if call > first_return:
-                break
-            if done >> i & 1:
-                continue
-            if kind == "put":
-                stack.append((done | 1 << i, arg))
-            elif kind == "delete":
-                stack.append((done | 1 << i, None))
-            elif (found and value is not None and value == arg) or (not found and value is None):
-                stack.append((done | 1 << i, value))
-    return ends
-
-
-def check(history: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
-    """(key, verdict, n_ops): ok, violation or unknown for each key."""
+        value, done = state
+        if op in done:
+            out.add((value, done - {op}))
+            continue
+        for i, (kind, arg, found) in open_.items():
+            if i not in done:
+                legal, after = effect(kind, arg, found, value)
+                if legal:
+                    stack.append((after, done | {i}))
+    return out
 
-    def start(key: tuple) -> dict:
-        return {"key": key[0], "values": {None}, "open": [], "until": -1, "n": 0, "verdict": "ok"}
 
-    def close(s: dict) -> None:
-        if s["open"] and s["verdict"] == "ok":
-            ends = outcomes(s["open"], s["values"], max_steps)
-            s["verdict"] = "unknown" if ends is None else "ok" if ends else "violation"
-            s["values"] = ends or {None}
-        s["open"] = []
+def check(history: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """(key, verdict, n_ops): ok, violation, or, only if the steps of a return are limited, unknown for each key.
+
+    An operation that returns when another is called overlaps it. Reads that never returned say nothing and are
+    left out of n_ops.
+    """
+
+    def start(key: tuple) -> dict:
+        return {"key": key[0], "configurations": {(None, frozenset())}, "open": {}, "n": 0, "verdict": "ok"}
 
     def step(s: dict, row: tuple) -> Iterator[tuple]:
-        _, kind, value, found, call, ret = row
-        s["n"] += 1
-        if call > s["until"]:
-            close(s)
-        s["open"].append((kind, value, found, call, ret))
-        s["until"] = max(s["until"], ret)
+        _, kind, value, found, _, ends, op = row
+        if not ends:
+            s["n"] += 1
+        if s["verdict"] != "ok":
+            return iter(())
+        if not ends:
+            s["open"][op] = (kind, value, found)
+            return iter(())
+        after = returned(s["configurations"], s["open"], op, max_steps)
+        del s["open"][op]
+        if not after:
+            s["verdict"], s["open"] = "unknown" if after is None else "violation", {}
+        s["configurations"] = after
         return iter(())
 
     def finish(s: dict) -> Iterator[tuple]:
-        close(s)
         yield s["key"], s["verdict"], s["n"]
 
-    rows = history.select("key", "kind", "value", F.coalesce("found", F.lit(False)).alias("found"), "call", F.coalesce("ret", F.lit(INFINITY)).alias("ret"))
-    return fold_sorted(rows, ["key"], ["call", "ret"], "key string, verdict string, n_ops long", start, step, finish)
+    rows = history.select("key", "kind", "value", F.coalesce("found", F.lit(False)).alias("found"), "call", F.coalesce("ret", F.lit(INFINITY)).alias("ret"), F.monotonically_increasing_id().alias("op"))
+    called = F.struct(F.col("call").alias("at"), F.lit(False).alias("ends"))
+    # a read that never returned says nothing
+    events = F.when(F.col("ret") < INFINITY, F.array(called, F.struct(F.col("ret").alias("at"), F.lit(True).alias("ends")))).otherwise(F.array(called))
+    rows = rows.where(f"kind <> 'get' OR ret < {INFINITY}").withColumn("e", F.explode(events)).select("key", "kind", "value", "found", "e.at", "e.ends", "op")
+    return fold_sorted(rows, ["key"], ["at", "ends", "op"], "key string, verdict string, n_ops long", start, step, finish)
 
 
 def verdict(checked: DataFrame) -> DataFrame:
@@ -131,21 +131,29 @@ def write_outcomes(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("effective_ret", ret).withColumn("recorded", ret.isNotNull())
 
 
-COLORS = ("#4c78a8", "#f58518", "#54a24b", "#b279a2", "#e45756", "#72b7b2")
+def hue(key: str) -> int:
+    """A key's colour on the wheel, from its text alone."""
+    return sum((i + 1) * b for i, b in enumerate(key.encode())) * 47 % 360
 
 
-def timeline_html(history: DataFrame, title: str, ok: bool, limit: int = 2000) -> str:
-    """An SVG timeline of the first `limit` operations by call (a report for people, hence the limit)."""
+def timeline_html(history: DataFrame, title: str, ok: bool, limit: int | None = None) -> str:
+    """A page with a table of operations by call: a row each, whose bar spans its time in percent of all.
+
+    It is a report for people and meets on the driver; `limit` shows the first operations only, and says so.
+    """
     from html import escape
 
-    rows = lanes(history).orderBy("x", "client").limit(limit).collect()
-    keys = {k: COLORS[i % len(COLORS)] for i, k in enumerate(sorted({r["key"] for r in rows}))}
-    lane = {c: i for i, c in enumerate(sorted({r["lane"] for r in rows}))}
-    span = max((r["x"] + r["width"] for r in rows), default=1) or 1
-    bars = [
-        f'<g><title>{escape(str(r["kind"]))} {escape(str(r["key"]))}</title><rect x="{80 + 900 * r["x"] / span:.1f}" y="{30 + 26 * lane[r["lane"]]}" width="{max(2, 900 * r["width"] / span):.1f}" height="18" fill="{keys[r["key"]]}"/></g>'
-        for r in rows
-    ]
-    names = [f'<text x="4" y="{44 + 26 * i}">client {c}</text>' for c, i in lane.items()]
-    pill = "linearizable" if ok else "NOT linearizable"
-    return f'<!doctype html><h1>{escape(title)}</h1><p class="{"ok" if ok else "bad"}">{pill}</p><svg width="1000" height="{60 + 26 * len(lane)}">{"".join(names + bars)}</svg>'
+    shown = lanes(history).orderBy("x", "client")
+    total = history.count() if limit is not None else None
+    rows = (shown if limit is None else shown.limit(limit)).collect()
+    low = min((r["x"] for r in rows), default=0)
+    span = max((r["x"] + r["width"] for r in rows), default=1) - low or 1
+    lines = []
+    for r in rows:
+        what, left, wide = escape(f"{r['kind']} {r['key']}"), 100 * (r["x"] - low) / span, max(0.2, 100 * r["width"] / span)
+        bar = f'<hr style="margin:0 0 0 {left:.2f}%;width:{wide:.2f}%;height:1em;border:0;background:hsl({hue(str(r["key"]))} 60% 55%)">'
+        lines.append(f'<tr><th scope="row">{r["lane"]}</th><td>{what}</td><td>{r["x"]}</td><td style="width:70%">{bar}</td></tr>')
+    note = f"<p>The first {len(rows)} of {total} operations.</p>" if total is not None and total > len(rows) else ""
+    verdict_text = "The history is linearizable." if ok else "The history is NOT linearizable."
+    head = "<tr><th>client</th><th>operation</th><th>call</th><th>time</th></tr>"
+    return f"<!doctype html><title>{escape(title)}</title><h1>{escape(title)}</h1><p>{verdict_text}</p>{note}<table style=\"width:100%\">{head}{''.join(lines)}</table>"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import DELETE
+from .folds import fold_sorted
 from .prefix import running
 from .snapshot import merged
 
@@ -88,6 +89,28 @@ def block_index(rows: DataFrame, record: int, block: int = 4096, position: str =
     )
 
 
+def sparse_index(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """Sparse index (segment, block, n_records, offset, size, first_key) of records of any length (segment, pos,
+    key bigint, length): a block is closed once it holds `block` bytes or more. A segment streams through one task."""
+
+    def step(s: dict, row: tuple):
+        segment, _, key, length = row
+        if s["size"] >= block:
+            yield from close(s)
+            s.update(block=s["block"] + 1, n=0, offset=s["offset"] + s["size"], size=0)
+        if not s["n"]:
+            s["first"], s["segment"] = key, segment
+        s["n"] += 1
+        s["size"] += length
+
+    def close(s: dict):
+        yield s["segment"], s["block"], s["n"], s["offset"], s["size"], s["first"]
+
+    start = lambda key: {"block": 0, "n": 0, "offset": 0, "size": 0}
+    rows = rows.select("segment", "pos", "key", "length")
+    return fold_sorted(rows, ["segment"], ["pos"], "segment long, block long, n_records long, offset long, size long, first_key long", start, step, close)
+
+
 def positions(versions: DataFrame, block: int = 1 << 16) -> DataFrame:
     """versions with pos: the place of each in segment order (key, ts descending), counted from 0.
 

@@ -5,7 +5,7 @@ raft_log   node, idx (from 1), term, kind (0 data, 1 config), members (array<int
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CONFIG, NO_VOTE
@@ -27,10 +27,28 @@ def up_to_date(last_term: Column, last_idx: Column, own_term: Column, own_idx: C
 
 
 def votes(requests: DataFrame) -> DataFrame:
-    """requests (seq, voter, candidate, term, eligible) with granted: the first eligible candidate of each
-    (voter, term) gets the vote, and gets it again when it asks again."""
-    first = requests.where("eligible").groupBy("voter", "term").agg(F.min_by("candidate", "seq").alias("chosen"))
-    return requests.join(first, ["voter", "term"], "left").withColumn("granted", F.col("eligible") & F.coalesce(F.col("candidate") == F.col("chosen"), F.lit(False))).drop("chosen")
+    """requests (seq, voter, candidate, term, eligible) with granted and reply_term, each voter's in order of seq.
+
+    eligible: the candidate's log is up to date. Optional columns: in_contact (the voter heard from a leader just
+    now) makes it ignore the request, term and all, unless transfer is set; start_term and start_vote are what
+    the voter had saved. A heard term beyond the voter's is adopted whether or not the vote is granted; a smaller
+    one is refused. The first candidate that may have the vote of a term gets it, again when it asks again.
+    """
+    have = set(requests.columns)
+    default = lambda name, value: F.col(name) if name in have else F.lit(value)
+    rows = requests.withColumns(
+        {
+            "_heard": ~F.coalesce(default("in_contact", False) & ~F.coalesce(default("transfer", False), F.lit(False)), F.lit(False)),
+            "_start": F.coalesce(default("start_term", 0), F.lit(0)).cast("long"),
+            "_vote": F.nullif(default("start_vote", NO_VOTE), F.lit(NO_VOTE)),
+        }
+    )
+    so_far = Window.partitionBy("voter").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("reply_term", F.greatest(F.coalesce(F.max(F.when(F.col("_heard"), F.col("term"))).over(so_far), F.lit(0)), F.col("_start")))
+    rows = rows.withColumn("_may", F.col("_heard") & (F.col("term") == F.col("reply_term")) & F.col("eligible"))
+    of_term = Window.partitionBy("voter", "term").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = F.coalesce(F.when(F.col("term") == F.col("_start"), F.col("_vote")), F.first(F.when(F.col("_may"), F.col("candidate")), True).over(of_term))
+    return rows.withColumn("granted", F.coalesce(F.col("_may") & (F.col("candidate") == chosen), F.lit(False))).drop("_heard", "_start", "_vote", "_may")
 
 
 def winners(granted: DataFrame, n_voters: int) -> DataFrame:
@@ -75,6 +93,104 @@ def appended(log: DataFrame, entries: DataFrame) -> DataFrame:
     return both.withColumn("term", term).where("term IS NOT NULL").select("node", "idx", "term")
 
 
+def append_entries(states: DataFrame, log: DataFrame, requests: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Followers' answers to one message each, and their logs (node, idx, term) after it.
+
+    states: node, term, commit_idx, base_idx, base_term; requests: node, term, prev_idx, prev_term, leader_commit;
+    entries: node, idx, term. Answers: node, success, term, match_idx, hint, commit_idx. A stale leader is refused
+    with the follower's term; a log that does not hold the previous entry is refused with the index after its last
+    one as a hint; else the entries beyond the base are taken as appended() does, and the commit index follows the
+    leader's up to the log's end.
+    """
+    asked = requests.select("node", F.col("term").alias("leader_term"), "prev_idx", "prev_term", "leader_commit").join(states, "node")
+    last = log.groupBy("node").agg(F.max("idx").alias("last_idx"))
+    at_prev = log.select("node", F.col("idx").alias("prev_idx"), F.col("term").alias("own_prev_term"))
+    n = entries.groupBy("node").agg(F.count("*").alias("n_entries"))
+    known = asked.join(last, "node", "left").join(at_prev, ["node", "prev_idx"], "left").join(n, "node", "left")
+    holds = (
+        F.when(F.col("prev_idx") < F.col("base_idx"), True)
+        .when(F.col("prev_idx") == F.col("base_idx"), F.col("prev_term") == F.col("base_term"))
+        .otherwise(F.coalesce(F.col("own_prev_term") == F.col("prev_term"), F.lit(False)))
+    )
+    stale = F.col("leader_term") < F.col("term")
+    judged = known.withColumns(
+        {"stale": stale, "success": ~stale & holds, "last_idx": F.coalesce("last_idx", "base_idx"), "n_entries": F.coalesce("n_entries", F.lit(0))}
+    )
+    good = judged.where("success").select("node", "base_idx")
+    taken = entries.join(good, "node").where("idx > base_idx").select("node", "idx", "term")
+    merged = appended(log.join(good, "node", "left_semi"), taken)
+    after = merged.unionByName(log.join(good, "node", "left_anti").select("node", "idx", "term"))
+    new_last = merged.groupBy("node").agg(F.max("idx").alias("new_last"))
+    reach = F.least("leader_commit", F.coalesce("new_last", "last_idx"))
+    answers = judged.join(new_last, "node", "left").select(
+        "node",
+        "success",
+        F.greatest("term", "leader_term").alias("term"),
+        F.when(F.col("success"), F.col("prev_idx") + F.col("n_entries")).alias("match_idx"),
+        F.when(~F.col("success") & ~F.col("stale"), F.col("last_idx") + 1).alias("hint"),
+        F.when(F.col("success"), F.greatest("commit_idx", reach)).otherwise(F.col("commit_idx")).alias("commit_idx"),
+    )
+    return answers, after
+
+
+def installed_snapshot(log: DataFrame, offers: DataFrame) -> DataFrame:
+    """(node, term, base_idx, base_term, commit_idx, success, n_left) after a snapshot is offered to each node.
+
+    offers: node, own_term, own_applied, leader_term, snap_idx, snap_term. A stale leader is refused. A snapshot
+    that the node has applied already is acknowledged and changes nothing; another replaces the whole log (node,
+    idx, term), sessions and configuration come with it (see sources/segments.py).
+    """
+    held = log.groupBy("node").agg(F.count("*").alias("n_log"))
+    stale, known = F.col("leader_term") < F.col("own_term"), F.col("snap_idx") <= F.col("own_applied")
+    return (
+        offers.join(held, "node", "left")
+        .withColumns({"stale": stale, "takes": ~stale & ~known})
+        .select(
+            "node",
+            F.greatest("own_term", "leader_term").alias("term"),
+            F.when(F.col("takes"), F.col("snap_idx")).otherwise(F.lit(0)).cast("long").alias("base_idx"),
+            F.when(F.col("takes"), F.col("snap_term")).otherwise(F.lit(0)).cast("long").alias("base_term"),
+            F.when(F.col("takes"), F.col("snap_idx")).otherwise(F.col("own_applied")).cast("long").alias("commit_idx"),
+            (~F.col("stale")).alias("success"),
+            F.when(F.col("takes"), F.lit(0)).otherwise(F.coalesce("n_log", F.lit(0))).cast("long").alias("n_left"),
+        )
+    )
+
+
+def add_outcome(leads: Column, member: Column, match_idx: Column, target: Column, gate_open: Column) -> Column:
+    """What becomes of a request to add a server: a learner is proposed as a voter once it holds the commit index
+    of the time of asking, and no other change is under way."""
+    return (
+        F.when(~leads, "not leader")
+        .when(member, "already a voter")
+        .when(F.coalesce(match_idx, F.lit(0)) < target, "catching up")
+        .when(~gate_open, "change in progress")
+        .otherwise("proposed")
+    )
+
+
+def transfer_outcome(leads: Column, own: Column, under_way: Column, member: Column, match_idx: Column, last_idx: Column) -> Column:
+    """What becomes of a request to hand leadership to a server: it is told to campaign once it holds the whole log."""
+    return (
+        F.when(~leads, "not leader")
+        .when(own, "already leader")
+        .when(under_way, "not leader")
+        .when(~member, "not a voter")
+        .when(F.coalesce(match_idx, F.lit(0)) < last_idx, "catching up")
+        .otherwise("campaign now")
+    )
+
+
+def read_barriers(barriers: DataFrame, acks: DataFrame, n_voters: int) -> DataFrame:
+    """barriers (seq, node, term) with outcome: served once a majority, the node included, has acknowledged an
+    entry of the term after the barrier (acks: seq, node, term); else not leader."""
+    last = acks.groupBy("term", "node").agg(F.max("seq").alias("seq"))
+    of_term = last.groupBy("term").agg(F.collect_list(F.struct("node", "seq")).alias("heard"))  # one for each voter
+    later = F.size(F.filter("heard", lambda a: (a["seq"] > F.col("seq")) & (a["node"] != F.col("node"))))
+    n = F.when(F.col("heard").isNull(), 0).otherwise(later) + 1
+    return barriers.join(of_term, "term", "left").select("seq", "node", "term", n.cast("long").alias("n_acks"), F.when(n >= n_voters // 2 + 1, "served").otherwise("not leader").alias("outcome"))
+
+
 def config_as_of(log: DataFrame, base_members: list[int]) -> DataFrame:
     """(idx, config_idx, members): the newest config entry at or before each index; config_idx 0 is the base."""
     marked = running(log.select("idx", "kind", "members"), "idx", F.when(F.col("kind") == CONFIG, F.col("idx")), "config_idx", how="max", strict=False)

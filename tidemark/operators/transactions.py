@@ -1,19 +1,22 @@
-"""Transactions: write buffers, read-your-writes, first-committer-wins, commit and apply.
+"""Transactions: write buffers, read-your-writes, first-committer-wins, commit, prepare and apply.
 
 txns      txn, read_snap, commit_order
 writes    txn, stmt, key, op, value
+actions   seq, txn, action (begin, put, delete, commit, rollback)
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import COMMIT, DELETE, PUT
 from .folds import fold_sorted
 from .prefix import running
+from .sessions import deduplicated
+from .shared import staged
 from .snapshot import newest_ts, scan
 
 
@@ -56,31 +59,121 @@ def first_committer_wins(txns: DataFrame) -> DataFrame:
     return fold_sorted(rows, ["key"], ["ts", "txn"], "key long, txn long, committed boolean", lambda key: [0], step, lambda state: iter(()))
 
 
+def first_committer_wins_all(txns: DataFrame, writes: DataFrame) -> DataFrame:
+    """(txn, committed) of transactions (txn, ts, read_snap) that write several keys (writes: txn, key), in order of ts.
+
+    A transaction commits iff none that committed before it wrote one of its keys at a ts beyond its read_snap.
+    Decided in rounds: one that has a committed transaction in its way aborts, one that has no undecided one in
+    its way commits, the others wait. The first undecided transaction never waits, so every round decides some;
+    the number of rounds is that of the longest chain of transactions that wait for each other.
+    """
+    rows = writes.select("txn", "key").distinct().join(txns.select("txn", "ts", "read_snap"), "txn").withColumn("done", F.lit(False))
+    rows, aborted = staged(rows, "undecided"), []
+    before = Window.partitionBy("key").orderBy("ts", "txn").rowsBetween(Window.unboundedPreceding, -1)
+    while not rows.where("NOT done").isEmpty():
+        behind = lambda done: F.coalesce(F.max(F.when(F.col("done") == done, F.col("ts"))).over(before) > F.col("read_snap"), F.lit(False))
+        met = rows.select("txn", "done", behind(True).alias("lost"), behind(False).alias("waits")).where("NOT done")
+        fate = staged(met.groupBy("txn").agg(F.max("lost").alias("lost"), F.max("waits").alias("waits")).where("lost OR NOT waits"), "fate")
+        aborted.append(fate.where("lost").select("txn"))
+        rows = rows.join(fate, "txn", "left").where("NOT coalesce(lost, false)")
+        rows = staged(rows.select("txn", "key", "ts", "read_snap", (F.col("done") | F.col("lost").isNotNull()).alias("done")), "undecided")
+    lost = aborted[0].withColumn("lost", F.lit(True)) if aborted else txns.select("txn").where("false").withColumn("lost", F.lit(True))
+    for more in aborted[1:]:
+        lost = lost.unionByName(more.withColumn("lost", F.lit(True)))
+    return txns.select("txn").join(lost, "txn", "left").select("txn", F.col("lost").isNull().alias("committed"))
+
+
 def commit(txns: DataFrame, buffer: DataFrame, log: DataFrame) -> DataFrame:
-    """Log rows (ts, op, key, value) of transactions that commit together against a log: each gets one ts in
-    commit order, its data rows and a marker. Conflicting and empty transactions write nothing.
+    """Log rows (ts, op, key, value) of transactions that began before any of them committed, and commit in
+    commit_order against a log: each winner gets the next ts, its data rows and a marker. Transactions that
+    conflict with the log or with an earlier winner, and empty ones, write nothing.
     """
     lost = conflicts(log, txns, buffer)
-    winners = txns.join(lost, "txn", "left_anti").join(buffer.select("txn").distinct(), "txn", "left_semi")
+    standing = txns.join(lost, "txn", "left_anti").join(buffer.select("txn").distinct(), "txn", "left_semi")
+    # an earlier winner's ts is beyond every snapshot of the batch
+    decided = first_committer_wins_all(standing.select("txn", F.col("commit_order").alias("ts"), F.lit(-(1 << 62)).cast("long").alias("read_snap")), buffer)
+    winners = standing.join(decided.where("committed"), "txn", "left_semi")
     base = log.agg(F.coalesce(F.max("ts"), F.lit(0))).first()[0]
-    ordered = running(winners, "commit_order", F.lit(1), "n_before").withColumn("ts", F.col("n_before") + base + 1)
-    data = buffer.join(ordered.select("txn", "ts"), "txn").select("ts", "op", "key", "value")
-    marker = ordered.select("ts", F.lit(COMMIT).alias("op"), F.lit(None).cast(dict(data.dtypes)["key"]).alias("key"), F.lit(None).cast(dict(data.dtypes)["value"]).alias("value"))
+    return _records(running(winners, "commit_order", F.lit(1), "n_before").withColumn("ts", F.col("n_before") + base + 1), buffer)
+
+
+def _records(stamped: DataFrame, buffer: DataFrame) -> DataFrame:
+    """Log rows of transactions with a ts: their data rows, and a marker each."""
+    data = buffer.join(stamped.select("txn", "ts"), "txn").select("ts", "op", "key", "value")
+    marker = stamped.select("ts", F.lit(COMMIT).alias("op"), F.lit(None).cast(dict(data.dtypes)["key"]).alias("key"), F.lit(None).cast(dict(data.dtypes)["value"]).alias("value"))
     return data.unionByName(marker)
 
 
+def prepared(txns: DataFrame, buffer: DataFrame, log: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What a leader makes of transactions (txn, read_snap, commit_order, session, seq) before replication:
+    (txn, status, ts), with status empty, duplicate, conflict or prepared.
+
+    Asked in this order: no writes; a seq that its session (session, last_seq) has applied; a written key with a
+    newer version in the log. Nothing is applied here, so prepared transactions do not conflict with each other;
+    each gets the next ts in commit_order.
+    """
+    full = buffer.select("txn").distinct().withColumn("full", F.lit(True))
+    lost = conflicts(log, txns, buffer).select("txn", F.lit(True).alias("lost"))
+    joined = txns.join(full, "txn", "left").join(lost, "txn", "left").join(sessions, "session", "left")
+    status = (
+        F.when(F.col("full").isNull(), "empty")
+        .when(F.coalesce(F.col("seq") <= F.coalesce("last_seq", F.lit(0)), F.lit(False)) & F.col("session").isNotNull(), "duplicate")
+        .when(F.col("lost"), "conflict")
+        .otherwise("prepared")
+    )
+    judged = joined.select("txn", "commit_order", status.alias("status"))
+    base = log.agg(F.coalesce(F.max("ts"), F.lit(0))).first()[0]
+    stamped = running(judged, "commit_order", (F.col("status") == "prepared").cast("long"), "n_before")
+    return stamped.select("txn", "status", F.when(F.col("status") == "prepared", F.col("n_before") + base + 1).alias("ts"))
+
+
+def entry_records(stamped: DataFrame, buffer: DataFrame, txns: DataFrame) -> DataFrame:
+    """Records (txn, ts, op, key, value, session, seq) of prepared transactions; markers carry session and seq."""
+    good = stamped.where("status = 'prepared'").select("txn", "ts")
+    data = buffer.join(good, "txn").select("txn", "ts", "op", "key", "value")
+    marker = good.join(txns.select("txn", "session", "seq"), "txn").withColumn("op", F.lit(COMMIT))
+    return data.unionByName(marker, allowMissingColumns=True)
+
+
+def control_marker(versions: DataFrame, idx: int) -> DataFrame:
+    """The one record (idx, op, ts) of a no-op or of a membership change: a bare marker with the next ts."""
+    return versions.agg((F.coalesce(F.max("ts"), F.lit(0)) + 1).alias("ts")).select(F.lit(idx).cast("long").alias("idx"), F.lit(COMMIT).alias("op"), "ts")
+
+
+def lifecycles(actions: DataFrame) -> DataFrame:
+    """actions with outcome: ok, finished (after the transaction's commit or rollback) or unknown (before its begin)."""
+    before = Window.partitionBy("txn").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    began = F.coalesce(F.max(F.col("action") == "begin").over(before), F.lit(False))
+    over = F.coalesce(F.max(F.col("action").isin("commit", "rollback") & F.col("_begun")).over(before), F.lit(False))
+    begun = actions.withColumn("_begun", began | (F.col("action") == "begin"))
+    return begun.withColumn("outcome", F.when(~F.col("_begun"), "unknown").when(over, "finished").otherwise("ok")).drop("_begun")
+
+
+def active(actions: DataFrame, at: int) -> DataFrame:
+    """(txn, begin_seq): transactions that have begun and not ended once all actions up to `at` are done."""
+    done = lifecycles(actions.where(F.col("seq") <= at)).where("outcome = 'ok'")
+    ends = F.max(F.col("action").isin("commit", "rollback"))
+    return done.groupBy("txn").agg(F.min("seq").alias("begin_seq"), ends.alias("ended")).where("NOT ended").select("txn", "begin_seq")
+
+
 def apply_entries(entries: DataFrame) -> DataFrame:
     """Verdicts (idx, applied, reason) on replicated entries (idx, session, seq, n_ops, ends_in_commit, n_ts, n_bad_ops).
 
-    Malformed entries are refused; a sessioned entry applies iff its seq exceeds all earlier ones of its
-    session. Entries of all kinds advance the index.
+    Malformed entries are refused first: they touch neither the session table nor the index. Of the others, a
+    sessioned entry applies iff its seq exceeds all earlier ones of its session; a duplicate is a no-op that
+    advances the index.
     """
-    from .sessions import deduplicated
-
-    fresh = deduplicated(entries.where("session IS NOT NULL")).select("idx", F.col("applied").alias("fresh"))
     bad = F.when(F.col("n_ops") == 0, "empty").when(~F.col("ends_in_commit"), "no commit").when(F.col("n_ts") > 1, "two timestamps").when(F.col("n_bad_ops") > 0, "bad op")
-    judged = entries.join(fresh, "idx", "left").withColumn("reason", F.coalesce(bad, F.when(~F.coalesce("fresh", F.lit(True)), F.lit("duplicate")), F.lit("ok")))
-    return judged.select("idx", (F.col("reason") == "ok").alias("applied"), "reason")
+    judged = entries.withColumn("bad", bad)
+    plain = judged.where("bad IS NOT NULL OR session IS NULL").select("idx", F.coalesce("bad", F.lit("ok")).alias("reason"))
+    fresh = deduplicated(judged.where("bad IS NULL AND session IS NOT NULL"))
+    rows = plain.unionByName(fresh.select("idx", F.when(F.col("applied"), "ok").otherwise("duplicate").alias("reason")))
+    return rows.select("idx", (F.col("reason") == "ok").alias("applied"), "reason")
+
+
+def applied_through(verdicts: DataFrame) -> DataFrame:
+    """(applied_index): the largest index that advanced, over the verdicts of apply_entries()."""
+    return verdicts.where("reason IN ('ok', 'duplicate')").agg(F.coalesce(F.max("idx"), F.lit(0)).alias("applied_index"))
 
 
 def tombstones(keys: DataFrame) -> DataFrame:

@@ -130,3 +130,43 @@ HISTORY = """history AS (SELECT key, client, kind, value, kind = 'get' AND value
            OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), '')
          WHEN event_type <> 'error' THEN CAST(event_id AS VARCHAR) END AS value,
     event_id * 2 AS call, event_id * 2 + 1 AS ret FROM events))"""
+
+
+def overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of overlapping operations for each user: its k-th event takes effect at 1,000 k, inside its window;
+    purchases and views read, others put their own number. Every fifth read of the users whose number ends in 7
+    returns what was there four events before, which may or may not be explained by the overlaps."""
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events")
+    n, is_get = F.col("event_id"), F.col("event_type").isin("purchase", "view")
+    by_user = Window.partitionBy("user_id").orderBy("event_id")
+    put = F.when(~is_get, n)
+    last, older = (F.max(put).over(by_user.rowsBetween(Window.unboundedPreceding, back)) for back in (-1, -4))
+    seen = F.when((F.col("user_id") % 10 == 7) & (n % 5 == 0), older).otherwise(last)
+    value = F.when(is_get, seen).otherwise(n).cast("string")
+    at = 1000 * F.row_number().over(by_user).cast("long")
+    return e.select(
+        F.col("user_id").cast("string").alias("key"), (n % 4).alias("client"), F.when(is_get, "get").otherwise("put").alias("kind"), value.alias("value"),
+        (is_get & value.isNotNull()).alias("found"), (at - n * 7919 % 1500).alias("call"), (at + n * 104729 % 1500 + 1).alias("ret"),
+    )
+
+
+OVERLAPPING = """overlapping AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, kind, CASE WHEN kind = 'put' THEN event_id WHEN user_id % 10 = 7 AND event_id % 5 = 0 THEN older ELSE last END AS value, call, ret FROM (
+  SELECT user_id, event_id, CASE WHEN event_type IN ('purchase', 'view') THEN 'get' ELSE 'put' END AS kind,
+    max(CASE WHEN event_type NOT IN ('purchase', 'view') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last,
+    max(CASE WHEN event_type NOT IN ('purchase', 'view') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 4 PRECEDING) AS older,
+    1000 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) - event_id * 7919 % 1500 AS call,
+    1000 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) + event_id * 104729 % 1500 + 1 AS ret FROM events))"""
+
+
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps of transactions: a user's 7 transactions in turn; signups begin, purchases commit, errors roll back, others put."""
+    e = table(spark, sf_dir, "events")
+    t = F.col("event_type")
+    kind = F.when(t == "signup", "begin").when(t == "purchase", "commit").when(t == "error", "rollback").otherwise("put")
+    return e.select(F.col("event_id").alias("seq"), (F.col("user_id") * 7 + F.floor(F.col("event_id") / 997).cast("long") % 7).alias("txn"), kind.alias("action"))
+
+
+ACTIONS = """actions AS (SELECT event_id AS seq, user_id * 7 + event_id // 997 % 7 AS txn,
+  CASE event_type WHEN 'signup' THEN 'begin' WHEN 'purchase' THEN 'commit' WHEN 'error' THEN 'rollback' ELSE 'put' END AS action FROM events)"""

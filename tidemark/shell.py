@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: The longest line that is read, in bytes.
 MAX_LINE = 1 << 20
+# What the shell says.
 HELP = "commands: PUT <key> <value>, GET <key>, DELETE <key>, HELP, EXIT"
 USAGE = {"PUT": "usage: PUT <key> <value>", "GET": "usage: GET <key>", "DELETE": "usage: DELETE <key>"}
 ALIASES = {"DEL": "DELETE", "?": "HELP", "QUIT": "EXIT"}
@@ -20,15 +21,14 @@ ALIASES = {"DEL": "DELETE", "?": "HELP", "QUIT": "EXIT"}
 
 def parsed(lines: DataFrame) -> DataFrame:
     """lines (line_no, line) with verb, key, value and ok (the arity is right). A value keeps its inner spaces."""
-    text = F.trim(F.coalesce("line", F.lit("")))
-    words = F.split(text, r"\s+")
-    verb = F.upper(words[0])
-    for alias, name in ALIASES.items():
-        verb = F.when(verb == alias, name).otherwise(verb)
-    value = F.regexp_extract(text, r"^\S+\s+\S+\s+(.*)$", 1)
-    n = F.when(text == "", 0).otherwise(F.size(words))
+    split = lines.select("line_no", F.trim(F.coalesce("line", F.lit(""))).alias("text")).withColumn("words", F.split("text", r"\s+", 3))
+    split = split.withColumn("said", F.upper(F.col("words")[0]))
+    names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    value = F.get("words", F.lit(2))
+    n = F.when(F.col("text") == "", 0).otherwise(F.size("words"))
+    told = split.select("line_no", "text", F.coalesce(F.try_element_at(names, "said"), "said").alias("verb"), F.get("words", F.lit(1)).alias("key"), value.alias("value"), n.alias("n"))
     ok = F.when(F.col("verb") == "PUT", F.col("n") >= 3).when(F.col("verb").isin("GET", "DELETE"), F.col("n") == 2).otherwise(F.lit(True))
-    return lines.select("line_no", text.alias("text"), verb.alias("verb"), F.get(words, F.lit(1)).alias("key"), value.alias("value"), n.alias("n")).withColumn("ok", ok)
+    return told.withColumn("ok", ok)
 
 
 def script(lines: DataFrame) -> DataFrame:

@@ -85,12 +85,32 @@ class SegmentStore:
             inputs, rest = live[: self.trigger], live[self.trigger :]
             rows = compaction.compacted([self._rows(e) for e in reversed(inputs)], watermark, bottom=True)
             out = max(e["id"] for e in inputs)
-            entry = {"id": out, "applied_index": max(e["applied_index"] for e in inputs)} | self._write(rows, f"{out:06d}-{len(self._versions()):06d}")
+            kept = {k: next((e[k] for e in reversed(inputs) if e.get(k)), None) for k in ("members", "sessions")}
+            entry = {"id": out, "applied_index": max(e["applied_index"] for e in inputs)} | kept | self._write(rows, f"{out:06d}-{len(self._versions()):06d}")
             self._commit([entry, *rest])
             done += [e["id"] for e in inputs]
         return done
 
-    def replace(self, rows: DataFrame, applied_index: int) -> None:
-        """Install a snapshot: its rows are all there is from now on, so deletes need no tombstones."""
+    def replace(self, rows: DataFrame, applied_index: int, sessions: DataFrame | None = None, members: list[int] | None = None) -> None:
+        """Install a snapshot: its rows are all there is from now on, so deletes need no tombstones. The session
+        table (session, last_seq) and the voters of the snapshot come with it, under the same manifest."""
         new = max((e["id"] for e in self.manifest()), default=0) + 1
-        self._commit([{"id": new, "applied_index": applied_index} | self._write(rows, f"{new:06d}-{len(self._versions()):06d}")])
+        folder = f"{new:06d}-{len(self._versions()):06d}"
+        entry = {"id": new, "applied_index": applied_index, "members": members, "sessions": None} | self._write(rows, folder)
+        if sessions is not None:
+            entry["sessions"] = folder
+            sessions.select("session", "last_seq").write.parquet(f"{self.path}/sessions/{folder}")
+        self._commit([entry])
+
+    def _installed(self) -> dict:
+        return next((e for e in reversed(self.manifest()) if e.get("sessions") or e.get("members")), {})
+
+    def sessions(self) -> DataFrame:
+        """The session table that the newest installed snapshot brought."""
+        if folder := self._installed().get("sessions"):
+            return self.spark.read.parquet(f"{self.path}/sessions/{folder}")
+        return self.spark.createDataFrame([], "session bigint, last_seq bigint")
+
+    def members(self) -> list[int] | None:
+        """The voters that the newest installed snapshot brought."""
+        return self._installed().get("members")

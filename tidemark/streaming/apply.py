@@ -35,11 +35,18 @@ def latest_versions(versions: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process all that is there, then read the result; complete mode keeps the last micro-batch's table."""
+    """Process all that is there, then read the result. Complete mode writes each micro-batch's table under its own
+    number, so that a reader has a whole one, and the newest is read."""
     spark = stream.sparkSession
+    newest = [out]
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", out)
     else:
-        writer = stream.writeStream.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(out))
+
+        def write(df: DataFrame, batch: int) -> None:
+            df.write.mode("overwrite").parquet(f"{out}/{batch:08d}")
+            newest[0] = f"{out}/{batch:08d}"
+
+        writer = stream.writeStream.foreachBatch(write)
     writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(newest[0])
