@@ -50,3 +50,45 @@ def test_ambiguous_mixture():
     assert v["lang_pred"] == list("xyz") and not any(v["ambiguous"])
     p = model.probabilities(langid.vectors([text("x") + " " + text("y") + " " + text("z")]))
     assert p.max() < 0.99
+
+
+def test_decoding_by_a_plain_loop():
+    import math
+
+    rng = np.random.default_rng(5)
+    code = langid.codebook(5)
+    m = langid.Model(list("abcde"), code, rng.normal(0, 1, (langid.DIM, code.shape[1])), rng.normal(0, 1, code.shape[1]), rng.uniform(0.2, 2, code.shape[1]))
+    x = rng.uniform(0, 1, (4, langid.DIM)) * (rng.uniform(0, 1, (4, langid.DIM)) < 0.01)
+    for row, p in zip(x, m.probabilities(x)):
+        losses = []
+        for word in code:
+            bits = [sum(row[i] * m.weights[i, b] for i in np.flatnonzero(row)) + m.bias[b] for b in range(len(word))]
+            losses.append(sum(t * math.log1p(math.exp(-f * c)) for f, c, t in zip(bits, word, m.trust)))
+        e = [math.exp(min(losses) - v) for v in losses]
+        assert np.allclose(p, [v / sum(e) for v in e]) and int(p.argmax()) == min(range(5), key=lambda i: losses[i])
+
+
+def test_counts_by_a_plain_loop_and_in_slices(monkeypatch):
+    text = "Añb c! Def\n12 gh"
+    raw = b" " + " ".join("añb c def gh".split()).encode() + b" "
+    m = 0xFFFFFFFF
+    want = np.zeros(langid.DIM, int)
+    for i in range(len(raw)):
+        h = raw[i] * 2654435761 & m
+        want[h >> 20] += 1
+        for c, a, b in zip(raw[i + 1 : i + 3], (2246822519, 668265263), (3266489917, 374761393)):
+            h = (h ^ (c * a & m)) * b & m
+            want[h >> 20] += 1
+    assert np.array_equal(langid.ngram_counts(text), want)
+    long = text * 80_000
+    whole = langid.ngram_counts(long)
+    monkeypatch.setattr(langid, "_SLICE", 997)
+    assert len(long) > 1 << 20 and np.array_equal(langid.ngram_counts(long), whole)
+
+
+def test_many_languages_and_repeated_ids(spark):
+    """Each of many languages is learned from rows of its own, and a doc_id that fills half of the table counts once."""
+    rows = [(i, f"lang{i % 40} " * 5 + f"word{i}", f"l{i % 40:02d}") for i in range(400)] + [(3, "lang3 word", "l03")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.trained(docs, sample_rows=80)
+    assert model.languages == [f"l{k:02d}" for k in range(40)]

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import by_batch
 
-#: Entries of a worker's two piece tables: 40 MB or so each.
-PIECES = 200_000
+#: Entries of a worker's two piece tables: 16 MB or so each.
+PIECES = 80_000
 #: Bytes of text whose pieces are encoded together.
 BATCH = 1 << 20
 #: Pieces of more bytes are encoded one by one, in time linear in their length.
@@ -102,6 +102,7 @@ class Vocabulary:
         for (a, b), r in sorted(self.rank.items(), key=lambda x: x[1]):
             self.parts.setdefault(self.id[self.token[a] + self.token[b]], (a, b, r))
         self._automaton()
+        del self.id
 
     def _automaton(self) -> None:
         """Aho-Corasick automaton of all tokens, as arrays.

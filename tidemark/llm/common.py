@@ -74,33 +74,48 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def membership(keys: DataFrame, most_bits: int = FILTER_BITS) -> Callable[[Column], Column]:
-    """A test of long columns: true for every key of a one-column table of longs, and for few other values.
+class Membership:
+    """A test of longs: true for every key of a one-column table of longs, and for few other values.
 
     A Bloom filter of at most `most_bits` bits, so what is broadcast is bounded; with more keys than that is
     good for, more values pass and none is lost: callers go on exactly with what passes.
     """
-    key = keys.columns[0]
-    bits = 1 << 10
-    n = keys.count()
-    while bits < min(most_bits, 10 * n):
-        bits *= 2
-    places = lambda c: [F.pmod(F.xxhash64(F.lit(i), c), F.lit(bits)) for i in range(3)]
-    bit = keys.where(F.col(key).isNotNull()).select(F.explode(F.array(*places(F.col(key)))).alias("bit"))
-    word = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits")).toArrow()
-    table = np.zeros(bits // 64, np.int64)
-    table[word.column("word").to_numpy()] = word.column("bits").to_numpy()
-    shared = keys.sparkSession.sparkContext.broadcast(table.view(np.uint64))
-
-    @F.arrow_udf(BooleanType())
-    def passes(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        hit = np.ones(len(a), bool)
-        for x in (a, b, c):
-            at = x.to_numpy(zero_copy_only=False).astype(np.int64)
-            hit &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return pa.array(hit)
-
-    return lambda c: passes(*places(c))
+
+    def __init__(self, keys: DataFrame, most_bits: int = FILTER_BITS):
+        key = keys.columns[0]
+        n, self.bits = keys.count(), 1 << 10
+        while self.bits < min(most_bits, 10 * n):
+            self.bits *= 2
+        bit = keys.where(F.col(key).isNotNull()).select(F.explode(F.array(*self.places(F.col(key)))).alias("bit"))
+        word = bit.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits")).toArrow()
+        table = np.zeros(self.bits // 64, np.int64)
+        table[word.column("word").to_numpy()] = word.column("bits").to_numpy()
+        self.shared = keys.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def places(self, c: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(F.lit(i), c), F.lit(self.bits)) for i in range(3)]
+
+    def test(self) -> Callable[..., np.ndarray]:
+        """A function of the arrays of places, for use in a task."""
+        shared = self.shared
+
+        def passes(*places: pa.Array) -> np.ndarray:
+            hit = np.ones(len(places[0]), bool)
+            for x in places:
+                at = x.to_numpy(zero_copy_only=False).astype(np.int64)
+                hit &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            return hit
+
+        return passes
+
+    def __call__(self, c: Column) -> Column:
+        test = self.test()
+
+        @F.arrow_udf(BooleanType())
+        def passes(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
+            return pa.array(test(a, b, c))
+
+        return passes(*self.places(c))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

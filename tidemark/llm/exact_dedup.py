@@ -5,7 +5,7 @@
 2. A block sends each owner (a range of the fingerprint space) its sorted distinct fingerprints as
    Golomb-Rice codes of their gaps. A text that fills a third of the corpus is sent once a block.
 3. An owner answers each block with a bitmap of the fingerprints that occur more than once: the suspects.
-4. A filter of the suspects (common.membership(): bounded) goes back to where the texts are scanned. Only texts
+4. A filter of the suspects (common.Membership: bounded) goes back to where the texts are scanned. Only texts
    that pass it are shuffled, and grouped by their bytes with map-side combining. A text that passes by chance
    is alone in its group, so the filter's size decides the cost only.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fresh, membership, staged
+from .common import Membership, arrow_schema, fresh, staged
 
 #: Rows of a block and of an owner: some 200 MB of a task's memory.
 BLOCK_ROWS = 1 << 22
@@ -139,7 +139,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     fps = fingerprints(docs, "text", "doc_id")
-    suspect = membership(staged(suspects(fps, block_rows).distinct(), "suspects"))
+    suspect = Membership(staged(suspects(fps, block_rows).distinct(), "suspects"))
     same = (
         docs.select("doc_id", normalised("text").alias("norm"))
         .where(suspect(F.xxhash64("norm")))
@@ -169,6 +169,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     gone = exact_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(gone_id), F.unhex("text_sha256").alias(gone_sha))
     gone = staged(gone.distinct(), "gone")
     sha, own_id = F.unhex(F.sha2(normalised("text"), 256)), F.col("doc_id").cast("long")
-    may_go = membership(gone.select(F.xxhash64(gone_id, gone_sha).alias("key")))(F.xxhash64(own_id, sha))
+    may_go = Membership(gone.select(F.xxhash64(gone_id, gone_sha).alias("key")))(F.xxhash64(own_id, sha))
     left = docs.where(may_go).join(gone, own_id.eqNullSafe(F.col(gone_id)) & (sha == F.col(gone_sha)), "left_anti")
     return docs.where(~may_go).union(left)

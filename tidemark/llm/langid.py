@@ -106,11 +106,11 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], rounds: int = 120, d
     mean = (x * weight).sum(axis=0)
     x = x - mean
     top = np.random.default_rng(0).normal(size=DIM).astype(np.float32)
-    for _ in range(12):  # the largest eigenvalue of the covariance sets the step
+    for _ in range(40):  # the largest eigenvalue of the covariance sets the step
         top = x.T @ (x @ top[:, None] * weight)[:, 0]
         size = float(np.linalg.norm(top))
         top /= max(size, 1e-12)
-    step = 3 / max(size, 1e-6)
+    step = 2 / max(size, 1e-6)
     w, b = np.zeros((DIM, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = w, b
     for k in range(rounds):
@@ -134,20 +134,25 @@ def trained(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     if not languages:
         return None
     most = max(1, sample_rows // len(languages))
-    rates = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, 1.2 * most / counts[k] + 1e-12))])
+    # so many more than needed that a language is not missed, as a threshold of shares is only near its rate
+    rates = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, (1.2 * most + 30) / counts[k]))])
 
     def each(batch: pa.RecordBatch) -> dict:
         x = vectors(batch.column("text").to_pylist()).astype(np.float16)
-        return {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "x": [r.tobytes() for r in x]}
+        return {c: batch.column(c) for c in ("doc_id", "share", "lang")} | {"x": [r.tobytes() for r in x]}
 
-    picked = by_batch(rows.where(share() < rates[F.col("lang")]), "doc_id long, lang string, x binary", each, 2 << 20).toArrow()
-    names = picked.column("lang").to_pylist()
+    picked = rows.withColumn("share", share()).where(F.col("share") < rates[F.col("lang")])
+    found = by_batch(picked, "doc_id long, share double, lang string, x binary", each, 2 << 20)
+    # rows that repeat a doc_id count once a language
+    got = found.groupBy("doc_id", "lang").agg(F.min("share").alias("share"), F.min("x").alias("x")).toArrow()
+    names = got.column("lang").to_pylist()
     order, taken = [], dict.fromkeys(languages, 0)
-    for i in np.argsort(picked.column("doc_id").to_numpy(), kind="stable").tolist():
+    for i in np.lexsort((got.column("doc_id").to_numpy(), got.column("share").to_numpy())).tolist():
         if taken[names[i]] < most:
             taken[names[i]] += 1
             order.append(i)
-    x = matrix(picked, "x", DIM)[order]
+    languages = [k for k in languages if taken[k]]
+    x = matrix(got, "x", DIM)[order]
     y = np.array([languages.index(names[i]) for i in order])
     return fit(x, y, languages)
 

@@ -97,8 +97,37 @@ def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float =
     return float(np.clip((above_u / above_p).min(), 0.01, 0.99))
 
 
+def risk(w: list[np.ndarray], p: np.ndarray, u: np.ndarray, prior: float | None) -> tuple[float, list[np.ndarray]]:
+    """The value that a step lowers, and its gradient by the layers w, on positive and unlabelled measures.
+
+    Without a prior: the logistic loss of telling positives from unlabelled. With one: prior * R_p(+) plus the
+    unlabelled risk R_u(-) - prior * R_p(-); where that is below zero it is overfitted, and the step goes back:
+    minus that part alone is lowered.
+    """
+    x = np.vstack([p, u])
+    h = np.maximum(x @ w[0] + w[1], 0)
+    out = np.clip(h @ w[2] + w[3], -30, 30)
+    s = 1 / (1 + np.exp(-out))
+    as_positive, as_negative = np.logaddexp(0, -out), np.logaddexp(0, out)
+    n, m = len(p), len(u)
+    # d(logistic loss)/d(output): s - 1 as a positive, s as a negative
+    if prior is None:
+        value = as_positive[:n].mean() + as_negative[n:].mean()
+        g = np.vstack([(s[:n] - 1) / n, s[n:] / m])
+    else:
+        negative = as_negative[n:].mean() - prior * as_negative[:n].mean()
+        g_negative = np.vstack([-prior * s[:n] / n, s[n:] / m])
+        if negative >= 0:
+            value = prior * as_positive[:n].mean() + negative
+            g = g_negative + np.vstack([prior * (s[:n] - 1) / n, np.zeros((m, 1))])
+        else:
+            value, g = -negative, -g_negative
+    gh = (g @ w[2].T) * (h > 0)
+    return float(value), [x.T @ gh, gh.sum(axis=0), h.T @ g, g.sum(axis=0)]
+
+
 def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int, epochs: int, seed: int) -> list[np.ndarray]:
-    """Adam on mini-batches. Without a prior: tell positives from unlabelled; with one: the non-negative risk."""
+    """Adam on mini-batches of risk(), with a little weight decay."""
     rng = np.random.default_rng(seed)
     d = p.shape[1]
     w = [rng.normal(0, d**-0.5, (d, hidden)).astype(np.float32), np.zeros(hidden, np.float32), rng.normal(0, hidden**-0.5, (hidden, 1)).astype(np.float32), np.zeros(1, np.float32)]
@@ -109,26 +138,12 @@ def _descend(p: np.ndarray, u: np.ndarray, prior: float | None, hidden: int, epo
     for _ in range(epochs):
         op, ou = rng.permutation(len(p)), rng.permutation(len(u))
         for b in range(steps):
-            xp, xu = p[np.take(op, range(b * 256, b * 256 + 256), mode="wrap")], u[np.take(ou, range(b * 256, b * 256 + 256), mode="wrap")]
-            x = np.vstack([xp, xu])
-            h = np.maximum(x @ w[0] + w[1], 0)
-            s = 1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30)))
-            sp, su = s[: len(xp)], s[len(xp) :]
-            # d(logistic loss)/d(output): s - 1 as a positive, s as a negative
-            if prior is None:
-                g = np.vstack([(sp - 1) / len(xp), su / len(xu)])
-            else:
-                negative = -np.log(1 - su + 1e-7).mean() + prior * np.log(1 - sp + 1e-7).mean()
-                gp, gu = (sp - 1) * prior / len(xp), np.zeros_like(su)
-                sign = 1.0 if negative >= 0 else -1.0  # below zero, step back from the overfitted negative risk
-                if sign < 0:
-                    gp = np.zeros_like(sp)
-                g = np.vstack([gp - sign * prior * sp / len(xp), gu + sign * su / len(xu)])
-            gh = (g @ w[2].T) * (h > 0)
-            grads = [x.T @ gh + 1e-4 * w[0], gh.sum(axis=0), h.T @ g + 1e-4 * w[2], g.sum(axis=0)]
+            part = range(b * 256, b * 256 + 256)
+            grads = risk(w, p[np.take(op, part, mode="wrap")], u[np.take(ou, part, mode="wrap")], prior)[1]
             k += 1
             rate = 3e-3 * (1 - 0.9 * k / (steps * epochs))
             for i, q in enumerate(grads):
+                q = q + 1e-4 * w[i] * (i in (0, 2))
                 m[i] = 0.9 * m[i] + 0.1 * q
                 v[i] = 0.999 * v[i] + 0.001 * q * q
                 w[i] = (w[i] - rate * (m[i] / (1 - 0.9**k)) / (np.sqrt(v[i] / (1 - 0.999**k)) + 1e-8)).astype(np.float32)
@@ -152,27 +167,45 @@ def fit(p: np.ndarray, u: np.ndarray, hidden: int = 24, epochs: int = 12, seed:
     return Model(centre, scale, _descend(p, u, prior, hidden, epochs, seed), prior)
 
 
-def trained(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED) -> Model | None:
-    """A model from docs (doc_id, text) and labels (doc_id, quality); a row labelled twice is positive if all its labels are."""
+def sampled_ids(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> DataFrame:
+    """(doc_id, positive, share): at most so many learnable ids of either kind, those with the least shares.
+
+    Only ids are read and joined; texts are fetched for the picked ones afterwards.
+    """
     known = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(learnable())
-    n_docs = rows.count()
-    n_labels = known.where(learnable() & (F.col("quality") == 1)).count()
-    # at most twice as many as needed are read: a shares() threshold is only near its rate
-    rate_p, rate_u = min(1.0, 1.5 * positives / max(1, n_labels)), min(1.0, 1.5 * unlabelled / max(1, n_docs - known.count()))
-    near = rows.where(share() < max(rate_p, rate_u)).withColumn("share", share())
-    picked = near.join(known.where(learnable()), "doc_id", "left").where(
-        (F.col("quality").isNull() & (F.col("share") < rate_u)) | ((F.col("quality") == 1) & (F.col("share") < rate_p))
-    )
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(learnable())
+    n_docs = max(1, ids.count())
+    trusted = known.where(learnable() & (F.col("quality") == 1)).join(ids, "doc_id", "left_semi")
+
+    def least(frame: DataFrame, positive: bool, n: int) -> DataFrame:
+        return frame.select("doc_id", F.lit(positive).alias("positive"), share().alias("share")).orderBy("share", "doc_id").limit(n)
+
+    rate = min(1.0, 2 * unlabelled / n_docs)
+    while True:
+        free = ids.where(share() < rate).join(known, "doc_id", "left_anti").distinct()
+        if rate == 1 or free.count() >= unlabelled:
+            return least(trusted, True, positives).unionByName(least(free, False, unlabelled))
+        rate = min(1.0, 8 * rate)  # most rows are labelled
+
+
+def trained(docs: DataFrame, labels: DataFrame, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED) -> Model | None:
+    """A model from docs (doc_id, text) and labels (doc_id, quality); a row labelled twice is positive if all its labels are.
+
+    Rows that repeat a picked doc_id are read in parallel and count once.
+    """
+    picked = sampled_ids(docs, labels, positives, unlabelled)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def each(batch: pa.RecordBatch) -> dict:
         x = [measures(t or "").astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
-        return {"share": batch.column("share"), "positive": batch.column("positive"), "x": x}
+        return {c: batch.column(c) for c in ("doc_id", "share", "positive")} | {"x": x}
 
-    got = by_batch(picked.select("share", F.col("quality").isNotNull().alias("positive"), "text"), "share double, positive boolean, x binary", each, 2 << 20).toArrow()
+    # at most positives + unlabelled ids are broadcast
+    found = by_batch(rows.join(F.broadcast(picked), "doc_id").select("doc_id", "share", "positive", "text"), "doc_id long, share double, positive boolean, x binary", each, 2 << 20)
+    got = found.groupBy("doc_id", "positive").agg(F.min("share").alias("share"), F.min("x").alias("x")).toArrow()
     x, positive = matrix(got, "x", DIM), got.column("positive").to_numpy(zero_copy_only=False).astype(bool)
-    order = np.argsort(got.column("share").to_numpy(), kind="stable")
-    return fit(x[[i for i in order if positive[i]][:positives]], x[[i for i in order if not positive[i]][:unlabelled]])
+    order = np.lexsort((got.column("doc_id").to_numpy(), got.column("share").to_numpy()))
+    return fit(x[[i for i in order if positive[i]]], x[[i for i in order if not positive[i]]])
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
