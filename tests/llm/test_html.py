@@ -102,3 +102,114 @@ def test_frame(spark):
     assert len(got) == len(rows) and {r.text for r in got if r.page_id == 3} == {"one\n\ntwo"}
     assert page_text(df.where("false")).collect() == []
     assert page_text(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).where("text = ''").count() == 0
+
+
+@pytest.mark.parametrize("css, body, want", [
+    ("@media print{.n{display:none}}", '<p class=n>shown</p>', "shown"),
+    ("@media screen and (min-width: 600px){.n{display:none}}", '<p class=n>gone</p>', ""),
+    ("@media (max-width: 600px){.n{display:none}} @media not screen{.n{display:none}}", '<p class=n>shown</p>', "shown"),
+    ("@import url(x.css); @charset 'a'; .n{display:none}", '<p class=n>gone</p>', ""),
+    ("@keyframes a{from{display:none}} @font-face{x:y} @supports (display:grid){.n{display:none}}", '<p class=n>gone</p>', ""),
+    (".x{display:none} .x{display:block}", '<p class=x>shown</p>', "shown"),
+    ("#i{display:block} .x{display:none}", '<p id=i class=x>shown</p>', "shown"),
+    (".x{display:none !important} #i{display:block}", '<p id=i class=x>gone</p>', ""),
+    (".x{display:none}", '<p class=x style="display:block">shown</p>', "shown"),
+    (".x{display:none!important}", '<p class=x style="display:block">gone</p>', ""),
+    ("/* c */.x{display:none}", '<p class=x>gone</p>', ""),
+    ("/* .x{display:none} */", '<p class=x>shown</p>', "shown"),
+    ("div .x{display:none}", '<div><i><b class=x>gone</b></i></div><b class=x>shown</b>', "shown"),
+    ("div > .x{display:none}", '<div><i><b class=x>shown</b></i><b class=x>gone</b></div>', "shown"),
+    ("p.x.y{display:none}", '<p class="y x">gone</p><p class=x>shown</p>', "shown"),
+    ("h1 + p{display:none}", '<h1>a</h1><p>gone</p><p>b</p>', "a\n\nb"),
+    ("h1 ~ p{display:none}", '<p>b</p><h1>a</h1><i>c</i><p>gone</p>', "b\n\na\n\nc"),
+    ("[data-x]{display:none} [lang|=de]{display:none} a[href^='http']{display:none}", '<i data-x>g</i><i lang=de-AT>g</i><a href=http://x>g</a><a href=/x>shown</a>', "shown"),
+    (".x:hover{display:none} .x::before{display:none}", '<p class=x>shown</p>', "shown"),
+    (".x{visibility:hidden} .y{visibility:visible}", '<div class=x>gone <b class=y>shown</b> gone</div>', "shown"),
+    ("", '<div style="visibility:hidden">gone<p style="visibility:visible">shown</p></div>', "shown"),
+    ("", '<p hidden>gone</p><p hidden style="display:block">shown</p>', "shown"),
+    (".w{white-space:pre-wrap}", '<div class=w>a   b\nc</div>', "a   b\nc"),
+    ("i{display:block} p{display:inline}", '<p>a</p><p>b</p><i>c</i>d', "ab\nc\nd"),
+    ("a, .x , #q{display:none}", '<a>g</a><b class=x>g</b><i id=q>g</i>shown', "shown"),
+])
+def test_style_sheets(css, body, want):
+    assert render(f"<html><head><style>{css}</style></head><body>{body}</body></html>") == want
+
+
+def slowly_hidden(path, rules):
+    """Whether the last of a path of (tag, class, id) from the root is hidden: every rule is tried against every path."""
+
+    def one(part, element):
+        tag, cls, ident = element
+        return part in ("*", tag, "." + cls, "#" + ident, f"{tag}.{cls}")
+
+    def fits(parts, path):
+        if not one(parts[-1], path[-1]):
+            return False
+        if len(parts) == 1:
+            return True
+        how, rest = parts[-2], parts[:-2]
+        return any(fits(rest, path[:k]) for k in ([len(path) - 1] if how == ">" else range(1, len(path))) if k)
+
+    for depth in range(1, len(path) + 1):
+        best = ((), "inline")
+        for order, (parts, value, important) in enumerate(rules):
+            if fits(parts, path[:depth]):
+                simple = [c for c in parts if c not in (">", " ")]
+                weight = sum("#" in c for c in simple), sum("." in c for c in simple), sum(c[0] not in ".#*" for c in simple)
+                best = max(best, ((important, weight, order), value))
+        if best[1] == "none":
+            return True
+    return False
+
+
+def test_random_style_sheets_against_a_slow_reading():
+    rng = random.Random(6)
+    for _ in range(120):
+        rules = []
+        for _ in range(rng.randrange(1, 8)):
+            parts = [rng.choice(["b", "i", "u", ".p", ".q", "#k", "b.p", "i.q", "*"])]
+            for _ in range(rng.randrange(0, 3)):
+                parts += [rng.choice([">", " "]), rng.choice(["b", "i", "u", ".p", ".q", "#m", "*"])]
+            rules.append((parts, rng.choice(["none", "inline"]), rng.random() < 0.2))
+        css = "".join("".join(f" {c} " if c == ">" else c for c in parts) + "{display:" + value + ("!important" if important else "") + "}" for parts, value, important in rules)
+        want, pages = [], []
+
+        def grow(path, depth):
+            for _ in range(rng.randrange(1, 4)):
+                e = (rng.choice("biu"), rng.choice(["p", "q", "r"]), rng.choice(["k", "m", "n"]))
+                word = f"w{len(want)}."
+                want.append((word, slowly_hidden([*path, e], rules)))
+                pages.append(f"<{e[0]} class={e[1]} id={e[2]}>{word} ")
+                if depth:
+                    grow([*path, e], depth - 1)
+                pages.append(f"</{e[0]}> ")
+
+        grow([("html", "", "")], 3)
+        got = render(f"<style>{css}</style>{''.join(pages)}").split()
+        assert got == [w for w, hidden in want if not hidden], css
+
+
+def test_tables_keep_their_columns():
+    long = "x" * 80
+    rows = render(f"<table><tr><td>{long}<td>b<tr><td>a<td>c</table>").split("\n")
+    assert rows == [long + "  b", "a".ljust(82) + "c"]
+    deep = "<table><tr><td>a<td>b<tr><td>cc<td>d</table>"
+    for _ in range(30):
+        deep = f"<table><tr><td>{deep}</table>"
+    assert render(deep) == "a   b\ncc  d"
+    words = " ".join(f"word{i}" for i in range(100))
+    lines = render(f"<table><tr><td>{words}<td>side<tr><td>a<td>b</table>").split("\n")
+    assert lines[0].split()[-1] == "side" and lines[-1].index("b") == lines[0].index("side") and " ".join(lines).replace(" side ", " ").split()[:100] == words.split()
+    assert all(len(x) <= 130 for x in lines)
+
+
+def test_random_tables_against_a_grid():
+    """Every cell's text starts at its column in every row, columns are two apart, and none overlaps the next."""
+    rng = random.Random(3)
+    for _ in range(60):
+        n, m = rng.randrange(1, 6), rng.randrange(2, 5)
+        cells = [["".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 90))) for _ in range(m)] for _ in range(n)]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) for row in cells) + "</table>"
+        widths = [max(len(row[k]) for row in cells) for k in range(m)]
+        want = ["  ".join(c.ljust(w) for c, w in zip(row, widths)).rstrip() for row in cells]
+        assert render(html).split("\n") == want

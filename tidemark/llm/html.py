@@ -1,10 +1,12 @@
 """Layout-aware text of HTML pages.
 
 A tokeniser and a small tree builder (implied and missing tags, void elements, raw text) make a tree; rules
-of visibility (elements that are never shown, hidden attributes, inline styles, simple style sheet rules)
-prune it; a renderer walks it without recursion and writes all visible text: blocks on lines of their own,
-blank lines around paragraphs, list markers and indents, preformatted text, and table cells in aligned
-columns.
+of visibility (elements that are never shown, hidden attributes, and the cascade of style sheets and inline
+styles, see visibility.py) prune it; a renderer walks it without recursion and writes all visible text: blocks
+on lines of their own, blank lines around paragraphs, list markers and indents, preformatted text, and table
+cells in aligned columns. Cells of tables with several columns are wrapped at CELL characters, so that no cell
+makes all rows wide; a word of more is cut there. Nesting is laid out to the depth of MAX_DEPTH, at which
+browsers stop nesting too; text beyond it is written without further indents or columns.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batch
+from .visibility import Cascade, media_matches
 
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)",
@@ -24,10 +27,6 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
-_PRE_STYLE = re.compile(r"white-space\s*:\s*(?:pre|break-spaces)", re.I)
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,17 +55,20 @@ IMPLIED_END = {
 }
 P_SCOPE = frozenset("table td th caption button object marquee applet html body".split())
 
-#: Column widths that cells are padded to; nested lists and tables beyond these depths get no more layout.
-MAX_PAD = 60
-MAX_INDENT = 32
-MAX_TABLES = 8
+#: Characters of a line of a cell in a table of several columns; depth of lists and tables that is laid out.
+CELL = 120
+MAX_DEPTH = 512
+INLINE = frozenset("inline inline-block inline-flex inline-grid inline-table contents".split())
+OF_TABLES = frozenset("table caption tr td th thead tbody tfoot li".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "parent", "elder")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None):
         self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.parent: Node | None = None
+        self.elder: Node | None = None  # the sibling element before
 
 
 def parse(html: str) -> Node:
@@ -94,6 +96,8 @@ def parse(html: str) -> Node:
             pop_to(found)
 
     def push(node: Node) -> None:
+        if len(open_) > MAX_DEPTH:  # deeper elements become siblings
+            pop_to(MAX_DEPTH)
         open_[-1].children.append(node)
         open_.append(node)
         counts[node.tag] = counts.get(node.tag, 0) + 1
@@ -162,34 +166,29 @@ def close_one(open_: list[Node], name: str, stops: set[str], pop_to) -> None:
             return
 
 
-def hiding_rules(root: Node) -> set[tuple[str, str, str]]:
-    """(tag, '.' or '#' or '', name) of style sheet rules that hide; only selectors of one simple part count."""
-    rules: set[tuple[str, str, str]] = set()
+def related(root: Node) -> list[str]:
+    """Sets parent and elder of all nodes; returns the style sheets, in order."""
+    sheets: list[str] = []
     stack = [root]
     while stack:
         node = stack.pop()
-        if node.tag == "style":
-            for selectors, body in _RULE.findall("".join(x for x in node.children if isinstance(x, str))):
-                if _HIDES.search(body):
-                    for s in selectors.split(","):
-                        if (m := _SELECTOR.match(s.strip())) and m.group():
-                            rules.add((m[1] or "", m[2] or "", m[3] or ""))
-        stack.extend(x for x in node.children if not isinstance(x, str))
-    return rules
-
-
-def hidden(node: Node, rules: set[tuple[str, str, str]]) -> bool:
-    if node.tag in NEVER_SHOWN or node.tag == "dialog" and "open" not in node.attrs:
+        if node.tag == "style" and media_matches(node.attrs.get("media", "")):
+            sheets.append("".join(x for x in node.children if isinstance(x, str)))
+        elder = None
+        own = [x for x in node.children if not isinstance(x, str)]
+        for child in own:
+            child.parent, child.elder = node, elder
+            elder = child
+        stack.extend(reversed(own))
+    return sheets
+
+
+def gone(node: Node, style: dict[str, str]) -> bool:
+    """Whether an element makes no box: what the standard hides unless a style says else, and what a style hides."""
+    if node.tag in NEVER_SHOWN or node.tag == "input" and node.attrs.get("type", "").lower() == "hidden":
         return True
-    if not node.attrs:
-        return bool(rules) and (node.tag, "", "") in rules
-    a = node.attrs
-    if "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden" or "style" in a and _HIDES.search(a["style"]):
-        return True
-    if not rules:
-        return False
-    names = [("", ""), *((".", c) for c in a.get("class", "").split()), ("#", a.get("id", ""))]
-    return any((t, mark, name) in rules for mark, name in names for t in ("", node.tag) if t or mark)
+    hidden = "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs
+    return style.get("display", "none" if hidden else "") == "none"
 
 
 class Lines:
@@ -197,6 +196,7 @@ class Lines:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
+        self.fixed: set[int] = set()  # lines of an inner table, which must not be wrapped
         self.part: list[str] = []
         self.space = self.blank = False
         self.indents: list[str] = []
@@ -230,9 +230,9 @@ class Lines:
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
-            indent = "".join(self.indents[:MAX_INDENT])
+            indent = "".join(self.indents[:MAX_DEPTH])
             if self.marker:
-                indent = indent[: len(indent) - len(self.marker)] + self.marker if len(self.indents) <= MAX_INDENT else indent + self.marker
+                indent = indent[: len(indent) - len(self.marker)] + self.marker if len(self.indents) <= MAX_DEPTH else indent + self.marker
                 self.marker = ""
             self.lines.append((indent + line).rstrip(" \t"))
 
@@ -245,24 +245,51 @@ class Lines:
         return self.lines
 
 
+def wrapped(line: str, width: int) -> list[str]:
+    """A line cut at spaces into lines of that width at most, indented like it; longer words are cut."""
+    if len(line) <= width:
+        return [line]
+    indent = line[: len(line) - len(line.lstrip(" "))][: width // 2]
+    out, now = [], indent
+    for word in line.split(" "):
+        if not word:
+            continue
+        while True:
+            room = width - len(now) - (len(now) > len(indent))
+            if len(word) <= room:
+                now += (" " if len(now) > len(indent) else "") + word
+                break
+            if len(now) > len(indent):
+                out.append(now)
+                now = indent
+            else:
+                out.append(now + word[:room])
+                word = word[room:]
+    return [*out, now] if len(now) > len(indent) else out
+
+
 class Table:
     def __init__(self) -> None:
-        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.rows: list[list[tuple[Lines, int, int]]] = []
 
     def lines(self) -> list[str]:
         """Rows with cells in columns that start at the same place; a tall cell takes several lines."""
         placed: list[list[tuple[int, list[str], int]]] = []
         held: dict[int, int] = {}
         widths: dict[int, int] = {}
+        several = any(len(row) > 1 or across > 1 for row in self.rows for _, across, _ in row) or any(down > 1 for row in self.rows for _, _, down in row)
         for row in self.rows:
             col, here = 0, []
             spans = {}
-            for cell, across, down in row:
+            for content, across, down in row:
+                cell = [x for i, line in enumerate(content.lines) for x in (wrapped(line, CELL) if several and i not in content.fixed else [line])]
+                while cell and not cell[-1]:
+                    cell.pop()
                 while held.get(col, 0) > 0:
                     col += 1
                 here.append((col, cell, across))
                 if across == 1:
-                    widths[col] = max(widths.get(col, 0), min(MAX_PAD, max(map(len, cell), default=0)))
+                    widths[col] = max(widths.get(col, 0), max(map(len, cell), default=0))
                 if down > 1:
                     spans |= {c: down for c in range(col, col + across)}
                 col += across
@@ -272,13 +299,20 @@ class Table:
         for c in range(max((c + a for row in placed for c, _, a in row), default=0)):
             starts[c] = x
             x += widths.get(c, 0) + 2 if c in widths else 0
+        # a cell over several columns that is wider than they are makes the last of them wider
+        for row in placed:
+            for c, cell, across in row:
+                need = max(map(len, cell), default=0) + 2
+                if across > 1 and c + across in starts and (more := need - (starts[c + across] - starts[c])) > 0:
+                    for k in range(c + across, len(starts)):
+                        starts[k] += more
         out = []
         for row in placed:
             for k in range(max((len(cell) for _, cell, _ in row), default=0)):
                 line = ""
                 for c, cell, _ in row:
                     if k < len(cell) and cell[k]:
-                        line = (line + "  " if len(line) > max(0, starts[c] - 2) else line.ljust(starts[c])) + cell[k] if line or starts[c] else cell[k]
+                        line = line.ljust(starts[c]) + cell[k]
                 out.append(line.rstrip())
         return out
 
@@ -309,25 +343,32 @@ def render(html: str | None) -> str:
     """All visible text of a page. Null and empty pages give the empty text."""
     if not html:
         return ""
-    root = parse(html.replace("\0", "�"))
-    rules = hiding_rules(root)
+    root = parse(html.replace("\0", "\ufffd"))
+    cascade = Cascade(related(root))
     out = [Lines()]
     tables: list[Table] = []
     lists: list[list] = []  # [kind, next number, step]
-    pre = 0
-    stack: list[tuple[Node | str, bool]] = [(root, False)]
+    # node, whether it is left, and what it takes from its parent: is it visible, is white space kept
+    stack: list[tuple[Node | str, bool, bool, bool]] = [(root, False, True, False)]
     while stack:
-        node, leaving = stack.pop()
+        node, leaving, shown, pre = stack.pop()
         w = out[-1]
         if isinstance(node, str):
-            w.raw(node) if pre else w.text(node)
+            if shown:
+                w.raw(node) if pre else w.text(node)
             continue
         tag = node.tag
-        is_pre = tag in PREFORMATTED or "style" in node.attrs and bool(_PRE_STYLE.search(node.attrs["style"]))
+        style = cascade.style(node)
         is_list = tag in ("ul", "ol", "menu", "dir")
-        in_table = bool(tables) and len(tables) <= MAX_TABLES
+        in_table = bool(tables) and len(tables) <= MAX_DEPTH
+        if "visibility" in style and style["visibility"] != "inherit":
+            shown = style["visibility"] not in ("hidden", "collapse")
+        space = style.get("white-space", "pre" if tag in PREFORMATTED else "")
+        is_pre = space.startswith(("pre", "break-spaces")) and space != "pre-line" if space and space != "inherit" else pre
+        display = style.get("display", "")
+        block = tag in BLOCKS if not display or tag in OF_TABLES or display in ("inherit", "unset", "revert") else display not in INLINE
         if not leaving:
-            if hidden(node, rules):
+            if gone(node, style):
                 continue
             if tag == "br":
                 w.end_line(keep=True)
@@ -337,16 +378,16 @@ def render(html: str | None) -> str:
             if tag == "img":
                 continue
             if tag == "input":
-                if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and node.attrs.get("value"):
+                if shown and node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url", "tel", "number") and node.attrs.get("value"):
                     w.text(f" {node.attrs['value']} ")
                 continue
-            if tag in SPACED and not (is_list and lists):
+            if block and tag in SPACED and not (is_list and lists):
                 w.margin()
-            elif tag in BLOCKS:
+            elif block:
                 w.end_line() if w.part else None
             if tag == "hr":
                 continue
-            children = node.children
+            children = [] if style.get("content-visibility") == "hidden" else node.children
             if tag == "details" and "open" not in node.attrs:
                 children = [c for c in children if not isinstance(c, str) and c.tag == "summary"][:1]
             if is_list:
@@ -362,7 +403,7 @@ def render(html: str | None) -> str:
                 else:
                     mark = "- "
                 w.indents.append(" " * len(mark))
-                w.marker = mark
+                w.marker = mark if shown else ""
             elif tag in ("blockquote", "dd"):
                 w.indents.append("  ")
             elif tag == "table":
@@ -373,28 +414,23 @@ def render(html: str | None) -> str:
                 out.append(Lines())
             elif tag in ("td", "th") or tag == "button":
                 w.text("  ")
-            elif tag == "q":
+            elif tag == "q" and shown:
                 w.text('"')
-            if is_pre:
-                pre += 1
-                if children and isinstance(children[0], str) and children[0].startswith("\n"):
-                    children = [children[0][1:], *children[1:]]
-            stack.append((node, True))
-            stack.extend((c, False) for c in reversed(children))
+            if tag in PREFORMATTED and is_pre and children and isinstance(children[0], str) and children[0].startswith("\n"):
+                children = [children[0][1:], *children[1:]]
+            stack.append((node, True, shown, pre))
+            stack.extend((c, False, shown, is_pre) for c in reversed(children))
             continue
-        if is_pre:
-            pre -= 1
-        if tag == "q":
+        if tag == "q" and shown:
             w.text('"')
         if tag in ("td", "th") and in_table:
-            cell = out.pop().done()
-            while cell and not cell[-1]:
-                cell.pop()
+            cell = out.pop()
+            cell.done()
             if not tables[-1].rows:
                 tables[-1].rows.append([])
             tables[-1].rows[-1].append((cell, max(1, _number(node.attrs.get("colspan"), 1, 1000)), max(1, _number(node.attrs.get("rowspan"), 1, 65534))))
             continue
-        if tag in BLOCKS and (w.part or w.marker):
+        if block and (w.part or w.marker):
             w.end_line()
         if is_list:
             lists.pop()
@@ -405,9 +441,10 @@ def render(html: str | None) -> str:
             for line in done.lines():
                 w.part.append(line)
                 w.end_line(keep=True)
+                w.fixed.add(len(w.lines) - 1)
         elif tag in ("td", "th", "button"):
             w.text("  ")
-        if tag in SPACED and not (is_list and lists):
+        if block and tag in SPACED and not (is_list and lists):
             w.blank = True
     lines = out[0].done()
     while lines and not lines[-1].strip():
