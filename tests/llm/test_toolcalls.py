@@ -55,8 +55,9 @@ def test_linking_and_json(spark):
     got = run(spark, calls, results)
     assert set(got) == {(1, "a"), (1, "b"), (1, "q")}
     a = got[1, "a"]
-    assert (a.status, a.n_calls, a.n_results, a.turn) == ("ok", 2, 2, 0)
-    want = {"arguments": {"x": 1, "y": 2}, "call_id": "a", "conv_id": 1, "depends_on": [], "errors": [], "name": "add", "result": 'é\n"/', "status": "ok"}
+    errors = ["several calls of one id", "several results of one id"]
+    assert (a.status, a.n_calls, a.n_results, a.turn, a.errors) == ("invalid", 2, 2, 0, errors)
+    want = {"arguments": {"x": 1, "y": 2}, "call_id": "a", "conv_id": 1, "depends_on": [], "errors": errors, "name": "add", "result": 'é\n"/', "status": "invalid"}
     assert a.json == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert got[1, "b"].errors == ["zz: no such call"]
     q = got[1, "q"]
@@ -79,8 +80,20 @@ def test_topological_order(spark):
     for (conv, call), own in deps.items():
         assert all(key(conv, d) < key(conv, call) for d in own)
         assert got[conv, call].errors == []
-    assert got[99, "p"].errors == ["cycle"] or got[99, "q"].errors == ["cycle"]
-    assert got[98, "s"].errors == ["cycle"] and got[99, "r"].errors == []
+    assert got[99, "p"].errors == got[99, "q"].errors == got[98, "s"].errors == ["cycle"] and got[99, "r"].errors == []
+
+
+def test_all_of_a_cycle_and_earlier_turns_that_depend_on_it_are_flagged(spark):
+    ring = [(1, f"c{i}", i, "add", '{"x":1}', [f"c{(i + 1) % 5}"]) for i in range(5)]
+    tail = [(1, "d", 2, "add", '{"x":1}', ["c2"]), (1, "e", 3, "add", '{"x":1}', ["d"]), (1, "f", 1, "add", '{"x":1}', ["g"]), (1, "g", 4, "add", '{"x":1}', [])]
+    got = run(spark, ring + tail)
+    assert {c for (_, c), r in got.items() if r.errors == ["cycle"]} == {"c0", "c1", "c2", "c3", "c4", "d", "e"}
+    assert got[1, "f"].errors == got[1, "g"].errors == [] and (got[1, "f"].order_turn, got[1, "f"].order_hops) == (4, 1)
+
+
+def test_repeated_rows_that_say_the_same(spark):
+    got = run(spark, [(1, "a", 0, "add", '{"x":1}', []), (1, "a", 4, "add", '{"x":1}', [])], [(1, "a", 5, "r"), (1, "a", 6, "r"), (1, "a", 7, None)])
+    assert (got[1, "a"].errors, got[1, "a"].n_calls, got[1, "a"].n_results) == (["several results of one id"], 2, 3)
 
 
 def test_conversations(spark):
@@ -88,7 +101,7 @@ def test_conversations(spark):
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.call_id): (r.status, r.errors) for r in linked(*exchanges(frame)).collect()}
     assert got == {
-        (1, "c0"): ("no_result", []),
+        (1, "c0"): ("no_result", []),  # it refers forward to c1
         (1, "c1"): ("ok", []),
         (1, "c3"): ("invalid", ["prompt: bad length"]),
         (2, "c0"): ("invalid", ["prompt: missing"]),

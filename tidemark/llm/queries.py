@@ -109,10 +109,10 @@ WITH rows AS (
   SELECT conv_id, turn, lower(trim(coalesce(role, ''))) AS role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 calls AS (
   SELECT conv_id, 'c' || turn AS call_id, turn, CASE role WHEN 'user' THEN 'reply' WHEN 'system' THEN 'instruct' ELSE role END AS name, text,
-    CASE WHEN role = 'user' AND turn >= 2 THEN 'c' || (turn - 2) END AS depends FROM rows WHERE role <> 'assistant'),
+    CASE WHEN role = 'user' AND turn >= 2 THEN 'c' || (turn - 2) WHEN role = 'system' THEN 'c' || (turn + 1) END AS depends FROM rows WHERE role <> 'assistant'),
 results AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, turn AS result_turn, text AS result FROM rows WHERE role = 'assistant'),
 joined AS (
-  SELECT conv_id, call_id, c.turn, r.result_turn, name, text, depends, result, c.conv_id IS NOT NULL AS is_call, r.conv_id IS NOT NULL AS has_result,
+  SELECT conv_id, call_id, c.turn, r.result_turn, coalesce(name = 'instruct' AND EXISTS (SELECT 1 FROM calls d WHERE d.conv_id = c.conv_id AND d.call_id = c.depends), false) AS moved, name, text, depends, result, c.conv_id IS NOT NULL AS is_call, r.conv_id IS NOT NULL AS has_result,
     CASE WHEN c.conv_id IS NULL THEN '' ELSE concat_ws(';',
       CASE WHEN depends IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls d WHERE d.conv_id = c.conv_id AND d.call_id = c.depends) THEN depends || ': no such call' END,
       CASE WHEN text IS NULL THEN 'prompt: missing' WHEN length(text) < 1 THEN 'prompt: bad length' END,
@@ -120,7 +120,7 @@ joined AS (
   FROM calls c FULL JOIN results r USING (conv_id, call_id)),
 final AS (
   SELECT *, CASE WHEN NOT is_call THEN 'orphan_result' WHEN errors <> '' THEN 'invalid' WHEN NOT has_result THEN 'no_result' ELSE 'ok' END AS status FROM joined)
-SELECT conv_id, call_id, coalesce(turn, result_turn) AS turn, coalesce(turn, result_turn) AS order_turn, CAST(0 AS BIGINT) AS order_hops, name, status, errors,
+SELECT conv_id, call_id, coalesce(turn, result_turn) AS turn, coalesce(turn, result_turn) + CASE WHEN moved THEN 1 ELSE 0 END AS order_turn, CAST(moved AS BIGINT) AS order_hops, name, status, errors,
   CAST(is_call AS BIGINT) AS n_calls, CAST(has_result AS BIGINT) AS n_results,
   '{"arguments":' || CASE WHEN NOT is_call THEN 'null' ELSE '{' || coalesce('"prompt":' || to_json(text) || ',', '') || '"turn":' || turn || '}' END
   || ',"call_id":' || to_json(call_id) || ',"conv_id":' || conv_id

@@ -36,13 +36,13 @@ _KINDS = {
 
 
 def first_by_id(rows: DataFrame, first: str, *rest: str) -> DataFrame:
-    """One row of each (conv_id, call_id), the least by (first, rest), and n_rows. Null identifiers go."""
-    least = F.min(F.struct(first, *rest)).alias("least")
+    """One row of each (conv_id, call_id), the least by (first, rest), n_rows, and whether rows differ in rest. Null identifiers go."""
+    least, said = F.min(F.struct(first, *rest)).alias("least"), F.struct(*rest)
     return (
         rows.where("conv_id IS NOT NULL AND call_id IS NOT NULL")
         .groupBy("conv_id", "call_id")
-        .agg(least, F.count("*").alias("n_rows"))
-        .select("conv_id", "call_id", *[F.col(f"least.{c}").alias(c) for c in (first, *rest)], "n_rows")
+        .agg(least, F.count("*").alias("n_rows"), (F.min(said) != F.max(said)).alias("differ"))
+        .select("conv_id", "call_id", *[F.col(f"least.{c}").alias(c) for c in (first, *rest)], "n_rows", "differ")
     )
 
 
@@ -73,7 +73,8 @@ def order_keys(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, order_turn, order_hops, cyclic) of the calls that move; all others keep (turn, 0).
 
     calls: conv_id, call_id, turn; edges: conv_id, call_id, depends (an existing call). A call whose hops
-    reach the number of its conversation's calls lies behind a cycle and is flagged.
+    reach the number n of its conversation's calls is in a cycle or behind one, and flagged. Rounds go on to 2 n
+    hops, by when all members of a cycle have n.
     """
     value = calls.select("conv_id", "call_id", F.struct(F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_hops")).alias("v"))
     value = value.withColumn("cyclic", F.lit(False))
@@ -91,14 +92,14 @@ def order_keys(calls: DataFrame, edges: DataFrame) -> DataFrame:
             offered.join(known, ["conv_id", "call_id"])
             .where(F.col("v").isNull() | (F.col("offer") > F.col("v")))
             .join(size, "conv_id")
-            .select("conv_id", "call_id", F.col("offer").alias("v"), (F.col("offer.order_hops") >= F.col("n_calls")).alias("cyclic")),
+            .select("conv_id", "call_id", F.col("offer").alias("v"), (F.col("offer.order_hops") >= F.col("n_calls")).alias("cyclic"), (F.col("offer.order_hops") >= 2 * F.col("n_calls")).alias("over")),
             "moved",
         )
         if now.isEmpty():
             break
         moved.append(now.select("conv_id", "call_id", "v", "cyclic"))
         moved = moved if len(moved) < 8 else [staged(_latest(reduce(DataFrame.unionByName, moved)), "moved-all")]
-        frontier = now.where("NOT cyclic").select("conv_id", "call_id", "v")
+        frontier = now.where("NOT over").select("conv_id", "call_id", "v")
     if not moved:
         return value.where("false").select("conv_id", "call_id", "v.*", "cyclic")
     return _latest(reduce(DataFrame.unionByName, moved)).select("conv_id", "call_id", "v.*", "cyclic")
@@ -115,7 +116,8 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
 
     status: ok, invalid (errors are not empty), no_result, or orphan_result (no call; order_turn is the
     result's turn). errors are sorted: argument errors, dependencies that do not exist, `result before call`,
-    `cycle`. json is canonical: keys sorted, no spaces, arguments as parsed (or the raw text if they are no
+    `cycle` (on every member of a cycle, and calls of earlier turns that depend on one), `several calls of one id` and `several results
+    of one id` (rows of an identifier that differ in more than their turn; the first is shown). json is canonical: keys sorted, no spaces, arguments as parsed (or the raw text if they are no
     JSON). Null identifiers go; null arguments are no object; null turns sort first. Repeated rows and extra
     columns do no harm. Empty tables give no rows.
     """
@@ -123,11 +125,11 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
         first_by_id(
             calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")),
             "turn", "name", "arguments", "depends_on",
-        ).withColumnRenamed("n_rows", "n_calls"),
+        ).withColumnsRenamed({"n_rows": "n_calls", "differ": "calls_differ"}),
         "calls",
     )
     answers = first_by_id(results.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), "content"), "turn", "content").select(
-        "conv_id", "call_id", F.col("turn").alias("result_turn"), F.col("content").alias("result"), F.col("n_rows").alias("n_results")
+        "conv_id", "call_id", F.col("turn").alias("result_turn"), F.col("content").alias("result"), F.col("n_rows").alias("n_results"), F.col("differ").alias("results_differ")
     )
     wanted = first.select("conv_id", "call_id", "turn", F.explode(F.array_distinct("depends_on")).alias("depends"))
     there = first.select("conv_id", F.col("call_id").alias("depends"), F.col("turn").alias("depends_turn"), F.lit(True).alias("there"))
@@ -154,7 +156,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFram
     errors = F.array_sort(
         F.array_union(
             F.array_union(argument_errors(), F.coalesce("lost", none)),
-            F.array_compact(F.array(F.when(F.col("result_turn") < F.col("turn"), F.lit("result before call")), F.when(F.col("cyclic"), F.lit("cycle")))),
+            F.array_compact(F.array(F.when(F.col("result_turn") < F.col("turn"), F.lit("result before call")), F.when(F.col("cyclic"), F.lit("cycle")), F.when(F.col("calls_differ"), F.lit("several calls of one id")), F.when(F.col("results_differ"), F.lit("several results of one id")))),
         )
     )
     rows = joined.withColumn("errors", F.when(is_call, errors).otherwise(none)).withColumn(
@@ -185,8 +187,9 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     """conversations (conv_id, turn, role, text) as calls, results and schemas.
 
     A user's turn t is the call `c<t>` of the tool `reply`, which depends on the user's turn two before; the
-    assistant's turn t + 1 is its result. A system turn is a call of `instruct`; any other role is a call of
-    the tool named like the role, which no schema knows. Null turns have no identifier.
+    assistant's turn t + 1 is its result. A system turn t is a call of `instruct`, which refers forward to the call
+    of turn t + 1; any other role is a call of the tool named like the role, which no schema knows. Null turns have
+    no identifier.
     """
     role = F.lower(F.trim(F.coalesce("role", F.lit(""))))
     turn = F.col("turn").cast("long")
@@ -198,7 +201,10 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
         "turn",
         F.when(F.col("role") == "user", F.lit("reply")).when(F.col("role") == "system", F.lit("instruct")).otherwise(F.col("role")).alias("name"),
         F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
-        F.when((F.col("role") == "user") & (F.col("turn") >= 2), F.array(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string")))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        F.when((F.col("role") == "user") & (F.col("turn") >= 2), F.array(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string"))))
+        .when(F.col("role") == "system", F.array(F.concat(F.lit("c"), (F.col("turn") + 1).cast("string"))))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("depends_on"),
     )
     results = rows.where("role = 'assistant'").select("conv_id", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
     schemas = conversations.sparkSession.createDataFrame(
