@@ -99,3 +99,30 @@ def test_barriers(spark):
     acks = spark.createDataFrame([(6, 2, 2), (7, 1, 2), (10, 3, 2), (4, 4, 2)], "seq bigint, node int, term bigint")
     got = {r.seq: (r.n_acks, r.outcome) for r in R.read_barriers(asked, acks, 5).collect()}
     assert got == {5: (3, "served"), 9: (2, "not leader"), 1: (1, "not leader")}
+
+
+def test_logs_are_not_dealt_by_node_alone(spark):
+    """A log may be as long as the input: its rows meet others by (node, idx) or stay where they are."""
+    import re
+
+    states = spark.createDataFrame([(n, 1, 0, 0, 0) for n in (1, 2)], "node int, term bigint, commit_idx bigint, base_idx int, base_term int")
+    log = spark.createDataFrame([(n, i, 1) for n in (1, 2) for i in range(1, 40)], LOG)
+    requests = spark.createDataFrame([(n, 2, 30, 1, 35) for n in (1, 2)], "node int, term bigint, prev_idx bigint, prev_term bigint, leader_commit bigint")
+    sent = spark.createDataFrame([(n, i, 2) for n in (1, 2) for i in range(31, 36)], LOG)
+    _, after = R.append_entries(states, log, requests, sent)
+    held, kind = {}, "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(kind)
+    try:
+        spark.conf.set(kind, "1g")
+        wide = after._jdf.queryExecution().sparkPlan().toString()
+        spark.conf.set(kind, "-1")
+        _, after = R.append_entries(states, log, requests, sent)
+        plan = after._jdf.queryExecution().sparkPlan().toString()
+        for r in after.collect():
+            held.setdefault(r.node, []).append((r.idx, r.term))
+    finally:
+        spark.conf.set(kind, old)
+    # only what is known of a node, and so is small, may be joined by node alone
+    assert len(re.findall(r"SortMergeJoin \[node#\d+, idx#\d+L\]", wide)) == 2  # nor is a log sent whole, however small it looks
+    assert not re.search(r"SortMergeJoin \[node#\d+\], \[node#\d+\], Left", plan) and "FullOuter" in plan
+    assert all(sorted(rows) == [(i, 1) for i in range(1, 31)] + [(i, 2) for i in range(31, 36)] for rows in held.values()) and set(held) == {1, 2}

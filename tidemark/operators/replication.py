@@ -83,11 +83,13 @@ def appended(log: DataFrame, entries: DataFrame) -> DataFrame:
     """Followers' logs (node, idx, term) after they take a leader's entries (node, idx, term).
 
     From the first index of another term on, the follower's suffix is replaced; without a conflict its own
-    entries all stay, even beyond the leader's, and only missing ones are added.
+    entries all stay, even beyond the leader's, and only missing ones are added. Rows meet by (node, idx). What is
+    known of a node is one row, which goes to the rows of its log and never the other way: the hints are there
+    because compressed files look small enough to be sent whole to every task.
     """
-    new = entries.select("node", "idx", F.col("term").alias("new_term"))
+    log, new = log.hint("merge"), entries.select("node", "idx", F.col("term").alias("new_term"))
     conflict = log.join(new, ["node", "idx"]).where("term <> new_term").groupBy("node").agg(F.min("idx").alias("cut"))
-    both = log.select("node", "idx", F.col("term").alias("own_term")).join(new, ["node", "idx"], "full").join(conflict, "node", "left")
+    both = log.select("node", "idx", F.col("term").alias("own_term")).join(new, ["node", "idx"], "full").join(F.broadcast(conflict), "node", "left")
     keeps_own = F.col("cut").isNull() | (F.col("idx") < F.col("cut"))
     term = F.when(keeps_own, F.coalesce("own_term", "new_term")).otherwise(F.col("new_term"))
     return both.withColumn("term", term).where("term IS NOT NULL").select("node", "idx", "term")
@@ -105,6 +107,7 @@ def append_entries(states: DataFrame, log: DataFrame, requests: DataFrame, entri
     asked = requests.select("node", F.col("term").alias("leader_term"), "prev_idx", "prev_term", "leader_commit").join(states, "node")
     last = log.groupBy("node").agg(F.max("idx").alias("last_idx"))
     at_prev = log.select("node", F.col("idx").alias("prev_idx"), F.col("term").alias("own_prev_term"))
+    at_prev = F.broadcast(at_prev.join(F.broadcast(requests.select("node", "prev_idx")), ["node", "prev_idx"]))  # a row a node
     n = entries.groupBy("node").agg(F.count("*").alias("n_entries"))
     known = asked.join(last, "node", "left").join(at_prev, ["node", "prev_idx"], "left").join(n, "node", "left")
     holds = (
@@ -116,7 +119,7 @@ def append_entries(states: DataFrame, log: DataFrame, requests: DataFrame, entri
     judged = known.withColumns(
         {"stale": stale, "success": ~stale & holds, "last_idx": F.coalesce("last_idx", "base_idx"), "n_entries": F.coalesce("n_entries", F.lit(0))}
     )
-    good = judged.where("success").select("node", "base_idx")
+    good = F.broadcast(judged.where("success").select("node", "base_idx"))  # one row a node
     taken = entries.join(good, "node").where("idx > base_idx").select("node", "idx", "term")
     merged = appended(log.join(good, "node", "left_semi"), taken)
     after = merged.unionByName(log.join(good, "node", "left_anti").select("node", "idx", "term"))
