@@ -174,6 +174,34 @@ def test_first_committer_wins_over_several_keys(spark):
     assert {r.txn: r.committed for r in got.collect()} == fold(txns, writes)
 
 
+def test_rounds_take_what_is_undecided(spark, monkeypatch):
+    """A chain of 12 transactions that wait for each other, beside 200 that wait for nobody and are decided at once."""
+    txns = [(i, i + 1, 0) for i in range(12)] + [(i, i + 1, 0) for i in range(100, 300)]
+    rows = [(i, k) for i in range(12) for k in (i, i + 1)] + [(i, i) for i in range(100, 300)]
+    staged, sizes = transactions.staged, []
+
+    def counted(df, name):
+        sizes.append((out := staged(df, name)).count())
+        return out
+
+    monkeypatch.setattr(transactions, "staged", counted)
+    got = transactions.first_committer_wins_all(spark.createDataFrame(txns, "txn bigint, ts bigint, read_snap bigint"), spark.createDataFrame(rows, "txn bigint, key bigint"))
+    assert {r.txn: r.committed for r in got.collect()} == {i: i >= 100 or i % 2 == 0 for i, _, _ in txns}
+    assert sum(sizes) <= 2 * len(rows)
+
+
+def test_commit_reads_what_it_decided_once(spark, monkeypatch):
+    """The winners are staged, so neither numbering nor both kinds of records decide anew."""
+    staged, names = transactions.staged, []
+    monkeypatch.setattr(transactions, "staged", lambda df, name: (names.append(name), staged(df, name))[1])
+    txns = spark.createDataFrame([(i, 0, i) for i in range(6)], "txn bigint, read_snap bigint, commit_order bigint")
+    writes = spark.createDataFrame([(i, f"k{i // 2}", 1, "v") for i in range(6)], "txn bigint, key string, op int, value string")
+    rows = transactions.commit(txns, writes, versions(spark, ("z", 4, "old")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.ts, r.op, r.key) for r in rows.collect() if r.key) == [(5, 1, "k0"), (6, 1, "k1"), (7, 1, "k2")]
+    assert {"standing", "winners"} <= set(names) and "lost" not in plan
+
+
 def test_transactions_of_a_batch_conflict_with_each_other(spark):
     log = versions(spark, ("z", 4, "old"))
     txns = spark.createDataFrame([(1, 4, 1), (2, 4, 2), (3, 4, 3), (4, 2, 4), (5, 4, 5)], "txn bigint, read_snap bigint, commit_order bigint")

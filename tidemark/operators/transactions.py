@@ -8,6 +8,7 @@ actions   seq, txn, action (begin, put, delete, commit, rollback)
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ def read_your_writes(versions: DataFrame, buffer: DataFrame, snapshot: int) -> D
 
 def conflicts(log: DataFrame, txns: DataFrame, writes: DataFrame) -> DataFrame:
     """Transactions that may not commit against a fixed log: a written key has a version newer than read_snap."""
-    keyed = writes.select("txn", "key").distinct().join(txns, "txn")
-    newer = keyed.join(newest_ts(log), "key").where("newest_ts > read_snap")
+    logged = writes.select("txn", "key").join(newest_ts(log), "key").distinct()
+    newer = logged.join(txns, "txn").where("newest_ts > read_snap")
     return newer.groupBy("txn").agg(F.count("*").alias("n_conflicts"), F.max("newest_ts").alias("newest_ts"))
 
 
@@ -65,21 +66,23 @@ def first_committer_wins_all(txns: DataFrame, writes: DataFrame) -> DataFrame:
     A transaction commits iff none that committed before it wrote one of its keys at a ts beyond its read_snap.
     Decided in rounds: one that has a committed transaction in its way aborts, one that has no undecided one in
     its way commits, the others wait. The first undecided transaction never waits, so every round decides some;
-    the number of rounds is that of the longest chain of transactions that wait for each other.
+    the number of rounds is that of the longest chain of transactions that wait for each other. A round takes the
+    undecided, and those that won in the round before: whoever is left has older winners not in its way, so what is
+    decided shrinks the rounds that follow.
     """
-    rows = writes.select("txn", "key").distinct().join(txns.select("txn", "ts", "read_snap"), "txn").withColumn("done", F.lit(False))
-    rows, aborted = staged(rows, "undecided"), []
+    rows = writes.select("txn", "key").join(txns.select("txn", "ts", "read_snap"), "txn").distinct().withColumn("won", F.lit(False))
     before = Window.partitionBy("key").orderBy("ts", "txn").rowsBetween(Window.unboundedPreceding, -1)
-    while not rows.where("NOT done").isEmpty():
-        behind = lambda done: F.coalesce(F.max(F.when(F.col("done") == done, F.col("ts"))).over(before) > F.col("read_snap"), F.lit(False))
-        met = rows.select("txn", "done", behind(True).alias("lost"), behind(False).alias("waits")).where("NOT done")
-        fate = staged(met.groupBy("txn").agg(F.max("lost").alias("lost"), F.max("waits").alias("waits")).where("lost OR NOT waits"), "fate")
+    of_txn, aborted = Window.partitionBy("txn"), []
+    in_the_way = lambda which: F.coalesce(F.max(F.when(which, F.col("ts"))).over(before) > F.col("read_snap"), F.lit(False))
+    while True:
+        met = rows.withColumn("lost", in_the_way(F.col("won"))).withColumn("waits", in_the_way(~F.col("won") & ~F.col("lost"))).where("NOT won")
+        fate = met.select("txn", "key", "ts", "read_snap", F.max("lost").over(of_txn).alias("lost"), F.max("waits").over(of_txn).alias("waits"))
+        fate = staged(fate, "fate")
         aborted.append(fate.where("lost").select("txn"))
-        rows = rows.join(fate, "txn", "left").where("NOT coalesce(lost, false)")
-        rows = staged(rows.select("txn", "key", "ts", "read_snap", (F.col("done") | F.col("lost").isNotNull()).alias("done")), "undecided")
-    lost = aborted[0].withColumn("lost", F.lit(True)) if aborted else txns.select("txn").where("false").withColumn("lost", F.lit(True))
-    for more in aborted[1:]:
-        lost = lost.unionByName(more.withColumn("lost", F.lit(True)))
+        rows = fate.where("NOT lost").select("txn", "key", "ts", "read_snap", (~F.col("waits")).alias("won"))
+        if rows.where("NOT won").isEmpty():
+            break
+    lost = reduce(DataFrame.union, aborted).distinct().withColumn("lost", F.lit(True))
     return txns.select("txn").join(lost, "txn", "left").select("txn", F.col("lost").isNull().alias("committed"))
 
 
@@ -89,10 +92,10 @@ def commit(txns: DataFrame, buffer: DataFrame, log: DataFrame) -> DataFrame:
     conflict with the log or with an earlier winner, and empty ones, write nothing.
     """
     lost = conflicts(log, txns, buffer)
-    standing = txns.join(lost, "txn", "left_anti").join(buffer.select("txn").distinct(), "txn", "left_semi")
+    standing = staged(txns.join(lost, "txn", "left_anti").join(buffer.select("txn"), "txn", "left_semi"), "standing")
     # an earlier winner's ts is beyond every snapshot of the batch
     decided = first_committer_wins_all(standing.select("txn", F.col("commit_order").alias("ts"), F.lit(-(1 << 62)).cast("long").alias("read_snap")), buffer)
-    winners = standing.join(decided.where("committed"), "txn", "left_semi")
+    winners = staged(standing.join(decided.where("committed"), "txn", "left_semi"), "winners")
     base = log.agg(F.coalesce(F.max("ts"), F.lit(0))).first()[0]
     return _records(running(winners, "commit_order", F.lit(1), "n_before").withColumn("ts", F.col("n_before") + base + 1), buffer)
 

@@ -62,7 +62,8 @@ def writes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", DELETE).otherwise(PUT).alias("op"),
         F.floor(F.col("l_quantity")).cast("long").alias("value"),
     )
-    return w.groupBy("txn", "key", "stmt").agg(F.max("op").alias("op"), F.max("value").alias("value"))
+    # one exchange serves this aggregate and the write buffer's
+    return w.repartition("txn", "key").groupBy("txn", "key", "stmt").agg(F.max("op").alias("op"), F.max("value").alias("value"))
 
 
 WRITES = """writes AS (SELECT l_orderkey AS txn, l_partkey AS key, CAST(l_linenumber AS BIGINT) * 1000000 + l_suppkey AS stmt,

@@ -16,7 +16,7 @@ from .functions import bloom, codec
 from .model import COMMIT, PUT
 from .operators import checker, compaction, log, replication, sessions, snapshot, transactions
 from .operators.prefix import running
-from .operators.shared import shared_dir
+from .operators.shared import shared_dir, staged
 from .plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,7 +241,7 @@ SELECT ts, op, key, value FROM buffer JOIN won USING (txn) UNION ALL SELECT ts,
 )
 def txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All transactions began at snapshot 0 of a log that has one version of every 50th part, and share parts."""
-    buffer = transactions.write_buffer(views.writes(spark, sf_dir)).drop("stmt")
+    buffer = staged(transactions.write_buffer(views.writes(spark, sf_dir)).drop("stmt"), "buffer")
     logged = buffer.where(F.col("key") % 50 == 0).select("key", F.lit(1).cast("long").alias("ts")).distinct()
     txns = buffer.select("txn").distinct().select("txn", F.lit(0).cast("long").alias("read_snap"), F.col("txn").alias("commit_order"))
     return transactions.commit(txns, buffer, logged)
@@ -778,8 +778,7 @@ MULTI = "pairs AS (SELECT txn, key, ts, read_snap FROM txns UNION SELECT txn, 10
 
 
 def _pairs(t: DataFrame) -> DataFrame:
-    second = t.withColumn("key", F.lit(1000000) + F.col("txn") * 31 % 700)
-    return t.select("txn", "key").union(second.select("txn", "key")).distinct()
+    return t.select("txn", F.explode(F.array("key", F.lit(1000000) + F.col("txn") * 31 % 700)).alias("key"))
 
 
 @query(
@@ -927,8 +926,9 @@ def _messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     states = ends.select("node", F.when(node == 2, top.t + 5).otherwise(top.t - 1).alias("term"), F.lit(10).cast("long").alias("commit_idx"), F.lit(0).alias("base_idx"), F.lit(0).alias("base_term"))
     prev = F.col("last") - F.when(node == 3, 100).when(node == 4, 300).otherwise(0)
     heads = ends.select("node", F.lit(top.t).alias("term"), prev.alias("prev_idx"), F.lit(top.n - 120).alias("leader_commit"))
-    requests = heads.join(lead.select(F.col("idx").alias("prev_idx"), F.col("term").alias("prev_term")), "prev_idx")
-    sent = heads.select("node", F.explode(F.sequence(F.col("prev_idx") + 1, F.least(F.col("prev_idx") + 400, F.lit(top.n)))).alias("idx")).join(lead.select("idx", "term"), "idx")
+    requests = F.broadcast(heads).join(lead.select(F.col("idx").alias("prev_idx"), F.col("term").alias("prev_term")), "prev_idx")
+    # a message has 400 entries at most
+    sent = F.broadcast(heads.select("node", F.explode(F.sequence(F.col("prev_idx") + 1, F.least(F.col("prev_idx") + 400, F.lit(top.n)))).alias("idx"))).join(lead.select("idx", "term"), "idx")
     return replication.append_entries(states, logs, requests, sent)
 
 
