@@ -96,6 +96,7 @@ class Vocabulary:
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         pairs = [(self.id[as_bytes[a]], self.id[as_bytes[b]]) for a, b in merges]
+        del spec, as_bytes, merges
         # rank of a merge; how a token was built, with the rank of that merge (single bytes: -1)
         self.rank = {p: r for r, p in reversed(list(enumerate(pairs)))}
         self.parts: dict[int, tuple[int, int, int]] = {}
@@ -107,7 +108,8 @@ class Vocabulary:
     def _automaton(self) -> None:
         """Aho-Corasick automaton of all tokens, as arrays.
 
-        next[row[s], byte] is the state after s; states without longer tokens share their suffix's row.
+        blocks[row[s, byte >> 4], byte & 15] is the state after s. A state shares all blocks of its suffix but those
+        that longer tokens change, so the table is a sixth of one with a full row a state.
         found_id[first[s]:first[s + 1]] are the tokens that end at s, longest first, with found_size bytes.
         """
         go: list[dict[int, int]] = [{}]
@@ -123,21 +125,22 @@ class Vocabulary:
                     own.append(-1)
                 s = go[s][b]
             own[s] = i
-        inner = [s for s, kids in enumerate(go) if kids]
-        self.row = np.zeros(len(go), np.int32)
-        self.row[inner] = np.arange(len(inner))
-        self.next = np.zeros((len(inner), 256), np.int32)
+        self.row = np.zeros((len(go), 16), np.int32)
+        # the root's blocks, and one for each set of bytes with equal first halves that lead on from a state
+        self.blocks = np.zeros((16 + sum(len({b >> 4 for b in kids}) for kids in go), 16), np.int32)
+        used = 16
         ends: list[list[int]] = [[] for _ in go]
         queue = [(0, 0)]
         for s, fail in queue:  # by depth, so fail's row is complete
             ends[s] = ([own[s]] if own[s] >= 0 else []) + (ends[fail] if s else [])
-            if go[s]:
-                below = self.next[self.row[fail]].copy() if s else np.zeros(256, np.int32)
-                queue += [(t, int(below[b]) if s else 0) for b, t in go[s].items()]
-                below[list(go[s])] = list(go[s].values())
-                self.next[self.row[s]] = below
-            elif s:
-                self.row[s] = self.row[fail]
+            self.row[s] = row = self.row[fail].tolist() if s else list(range(16))
+            queue += [(t, int(self.blocks[row[b >> 4], b & 15]) if s else 0) for b, t in go[s].items()]
+            for high in {b >> 4 for b in go[s]}:
+                self.blocks[used] = self.blocks[row[high]]
+                self.row[s, high], used = used, used + 1
+            for b, t in go[s].items():
+                self.blocks[self.row[s, b >> 4], b & 15] = t
+            go[s] = {}
         self.first = np.cumsum([0, *map(len, ends)])
         self.found_id = np.array([i for e in ends for i in e], np.int64)
         self.size = np.zeros(max(self.token) + 1, np.int64)
@@ -185,11 +188,11 @@ class Vocabulary:
 
     def encode_long(self, piece: bytes) -> bytes:
         """The exact ids of one piece: the same recurrence as encode_pieces(), byte by byte without arrays."""
-        step, row = memoryview(self.next.reshape(-1)), memoryview(self.row)
+        step, row = memoryview(self.blocks.reshape(-1)), memoryview(self.row.reshape(-1))
         first, found, sizes = memoryview(self.first), memoryview(self.found_id), memoryview(self.found_size)
         last, state, answers = [0] * (len(piece) + 1), 0, self.answers
         for i, byte in enumerate(piece, 1):
-            state = step[row[state] * 256 + byte]
+            state = step[row[state * 16 + (byte >> 4)] * 16 + (byte & 15)]
             at = first[state]
             while True:
                 token, n = found[at], sizes[at]
@@ -230,7 +233,8 @@ class Vocabulary:
         state = np.zeros(len(pieces), np.int32)
         for i in range(1, most + 1):
             m = active[i]
-            state = self.next[self.row[state[:m]], raw[begin[:m] + i - 1]]
+            byte = raw[begin[:m] + i - 1]
+            state = self.blocks[self.row[state[:m], byte >> 4], byte & 15]
             open_, candidate = np.arange(m), self.first[state]
             while len(open_):
                 token, n = self.found_id[candidate], self.found_size[candidate]
