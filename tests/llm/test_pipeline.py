@@ -53,3 +53,28 @@ def test_stages_keep_columns_and_awkward_rows(spark):
         assert stage(spark, docs.where("false"), SF).count() == 0
     assert p.STAGES[0][1](spark, docs.where("false"), SF).count() == 0
     assert p.bpe(spark, docs, SF).count() == docs.count()
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark):
+    import corpus_pipeline as p
+    import pyarrow as pa
+    from tidemark.llm.common import ARROW_BYTES, short_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())})
+
+    try:
+        docs = docs_frame(spark, ["ab " * 20_000] * 300).coalesce(1)
+        for _, stage in p.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs_frame(spark, []), SF)
+            assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= ARROW_BYTES + 100_000
+        spark.conf.set(key, 1 << 20)
+        short_batches(spark)
+        assert spark.conf.get(key) in ("1048576", "1048576b")
+    finally:
+        spark.conf.set(key, before)
